@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 _OWN: dict[str, str] = {}
@@ -42,36 +41,6 @@ def text_or_empty(col: Column) -> Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
-def _local_forest(batches):
-    """A spanning forest of a partition's links: each node points at the smallest node it reaches there."""
-    parent: dict = {}
-
-    def find(x):
-        root = x
-        while parent[root] != root:
-            root = parent[root]
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
-
-    kind = None
-    for batch in batches:
-        kind = batch.schema.field(0).type
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for x in (a, b):
-                if x not in parent:
-                    parent[x] = x
-            ra, rb = find(a), find(b)
-            if ra != rb:
-                parent[max(ra, rb)] = min(ra, rb)
-    if kind is None:
-        return
-    nodes = list(parent)
-    for at in range(0, len(nodes), 50_000):
-        part = [(x, r) for x in nodes[at : at + 50_000] if (r := find(x)) != x]
-        yield pa.record_batch([pa.array([x for x, _ in part], kind), pa.array([r for _, r in part], kind)], names=["u", "v"])
-
-
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 100) -> DataFrame:
     """``(node, component)`` for every node of ``links``; the component is its smallest node.
 
@@ -80,9 +49,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
     folder. Rows with a null end are ignored, loops and repeated links do no harm, and an
     empty table has no components. Any orderable node type does.
     """
-    kind = links.schema[a].dataType.simpleString()
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v")
-    edges = edges.mapInArrow(_local_forest, f"u {kind}, v {kind}")
     edges = materialise(edges.distinct())
     before = None
     for _ in range(rounds):

@@ -9,7 +9,10 @@ boundary record for each sequence it touches. Only the last sequence has padding
 
 from __future__ import annotations
 
+import functools
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import materialise
 
 END_ID = 2
-CACHE = 500_000
+CACHE = 400_000
 _TAIL = b".,;:!?*#$%&()[]{}-+=/\"<>|~^_`@\\"
 
 
@@ -28,59 +31,57 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Token ids of whole texts as little-endian 16-bit integers, by words.
 
     The vocabulary's normaliser and splitter treat ASCII white space as an end of a word, ignore ASCII
-    case and cut between a letter or digit and other signs, so a text's ids are those of its words, and
-    a word's are those of its stem and of the signs after it. Words met before come from two tables of a
-    bounded size: as one is full it takes the place of the older one, from which words in use are taken over.
+    case and cut between letters and other signs, so a text's ids are those of its words, and a word's
+    are those of its stem and of the signs after it. A stem of ASCII letters goes to the tokenizer's
+    model at once, other words go through the whole tokenizer. Words met before come from two tables of
+    a bounded size: as one is full it takes the place of the older one, from which words in use are taken over.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids beyond 16 bits")
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
         self.older: dict[bytes, bytes] = {}
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u2").tobytes() for e in got]
-
-    def _learn(self, missing: set[bytes]) -> None:
-        known, older, plain, split = self.known, self.older, set(), []
-        for w in missing:
-            if w in older:
-                known[w] = older[w]
-                continue
-            stem = w.rstrip(_TAIL)
-            if stem and stem != w and (stem[-1:].isalnum()) and b"<|" not in w:
-                split.append((w, stem, w[len(stem) :]))
-                for x in (stem, w[len(stem) :]):
-                    if x in older:
-                        known[x] = older[x]
-                    elif x not in known:
-                        plain.add(x)
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            stem = word.rstrip(_TAIL)
+            if not stem.isalpha() or b"<|" in word:
+                ids = _packed(self.tokenizer.encode(word.decode("utf-8"), add_special_tokens=False).ids)
+            elif stem == word:
+                ids = _packed([t.id for t in self.model.tokenize(word.decode("ascii"))])
             else:
-                plain.add(w)
-        plain = list(plain)
-        known.update(zip(plain, self._ids(plain)))
-        for w, stem, tail in split:
-            known[w] = known[stem] + known[tail]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        split = [(t or "").encode("utf-8").lower().split() for t in texts]
-        missing = {w for words in split for w in words}
-        missing.difference_update(self.known)
-        if missing:
-            self._learn(missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+                ids = self[stem] + self[word[len(stem) :]]
+        self[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        if len(self) > CACHE:
+            self.older = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, (text or "").encode("utf-8").lower().split()))
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+@functools.cache
+def encoder(path: str) -> WordEncoder:
+    """One for each worker process."""
+    return WordEncoder(path)
 
 
 def token_table(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,16 +92,16 @@ def token_table(docs: DataFrame, vocabulary: str | None = None, end_id: int = EN
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part, before = WordEncoder(path), TaskContext.get().partitionId(), 0
+        words, part, before = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
             at = 0
-            while at < batch.num_rows:  # so many characters at a time
+            while at < batch.num_rows:  # so many bytes at a time
                 size, to = 0, at
                 while to < batch.num_rows and (to == at or size < 2_000_000):
-                    size += len(batch.column(1)[to].as_buffer() or b"") if batch.column(1)[to].is_valid else 0
+                    size += batch.column(1)[to].as_buffer().size if batch.column(1)[to].is_valid else 0
                     to += 1
-                ids = [x + end for x in encoder.encode(batch.column(1).slice(at, to - at).to_pylist())]
+                ids = [words.encode(t.as_py()) + end for t in batch.column(1).slice(at, to - at)]
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 start = before + np.cumsum(n) - n
                 before += int(n.sum())

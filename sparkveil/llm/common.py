@@ -28,11 +28,18 @@ def scratch_root(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet below the shared scratch folder and read it again."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{scratch_root(spark)}/sparkveil-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of ``rows`` rows in this session, unless it has a setting of its own: texts are long, and the default of 10,000 rows costs memory."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

@@ -23,6 +23,7 @@ from .common import connected_components, materialise
 
 TILE = 2048
 BLOCK = 512
+FEW = 50_000
 
 
 def shingle_hashes(text: str | None, words: int) -> list[int]:
@@ -41,14 +42,30 @@ def shingle_hashes(text: str | None, words: int) -> list[int]:
 
 def simhash(hashes: list[int]) -> int:
     """Bit i is set if it is set in over half of the hashes; no hashes: zero."""
-    n = len(hashes)
-    if not n:
+    if not hashes:
         return 0
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 65_536):
-        part = np.array(hashes[at : at + 65_536], dtype="<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    return int(majority(np.array(hashes, "<u8"), np.zeros(1, np.int64))[0])
+
+
+#: A byte's bits as 8 bytes.
+_SPREAD = np.ascontiguousarray(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).view("<u8")[:, 0]
+
+
+def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For runs of hashes that begin at ``first`` (none empty): the bits set in over half of a run. Counts grow as 64 byte lanes in 8 words, 255 hashes at a time."""
+    sizes = np.diff(np.concatenate((first, [len(h)])))
+    pieces = -(-sizes // 255)
+    run = np.repeat(np.arange(len(first)), pieces)
+    cut = first[run] + 255 * (np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    out = np.zeros((len(first), 64), np.int64)
+    step = 2048
+    for lo in range(0, len(cut), step):
+        part = cut[lo : lo + step]
+        end = cut[lo + step] if lo + step < len(cut) else len(h)
+        lanes8 = _SPREAD[h[part[0] : end].astype("<u8").view(np.uint8).reshape(-1, 8)]
+        sums = np.add.reduceat(lanes8, part - part[0], axis=0).view(np.uint8).reshape(len(part), 64)
+        np.add.at(out, run[lo : lo + step], sums)
+    return np.packbits(out * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,38 +183,41 @@ def grouped(batches, flush, least: int = BLOCK):
         yield from flush([np.concatenate(c) for c in zip(*held)])
 
 
-def plan_blocks(n: int, radius: int, width: int = 64) -> list[list[tuple[int, int]]]:
-    """For each table the (offset, bits) parts that must agree; more parts and tables as the count grows, so buckets stay small."""
+def plan_blocks(n: int, radius: int, width: int = 64, spare: int | None = None) -> list[list[tuple[int, int]]]:
+    """For each table the (offset, bits) parts that must agree. ``spare`` is their number in a table; without it, more parts and tables as the count grows, so buckets stay small."""
 
     def cost(blocks: int) -> float:
         tables = comb(blocks, radius)
         kept = (blocks - radius) * width // blocks
         return tables * n * (1 + n / 2.0**kept / 1000)
 
-    blocks = min(range(radius + 1, radius + 4), key=cost)
+    blocks = radius + spare if spare else min(range(radius + 1, radius + 4), key=cost)
     cuts = [width * i // blocks for i in range(blocks + 1)]
     parts = [(cuts[i], cuts[i + 1] - cuts[i]) for i in range(blocks)]
     return [[parts[i] for i in keep] for keep in combinations(range(blocks), blocks - radius)]
 
 
-def masks(n: int, radius: int) -> list[int]:
+def masks(n: int, radius: int, spare: int | None = None) -> list[int]:
     """The bits that must agree in each table."""
-    return [sum(((1 << bits) - 1) << at for at, bits in table) for table in plan_blocks(n, radius)]
+    return [sum(((1 << bits) - 1) << at for at, bits in table) for table in plan_blocks(n, radius, spare=spare)]
 
 
 def split_groups(rows: DataFrame, group: str, by: str) -> DataFrame:
     """``rows`` with groups beyond ``TILE`` rows cut into chunks by a hash of ``by``, and a group ``g`` of its own for each pair of chunks. Others keep theirs."""
-    hot = rows.groupBy(group).count().where(F.col("count") > TILE).select(group, F.ceil(F.col("count") / TILE).cast("int").alias("_parts"))
-    rows = rows.join(hot, group, "left").withColumn("_i", F.pmod(F.xxhash64(by, F.lit(7)), F.col("_parts")).cast("int"))
+    hot = materialise(rows.groupBy(group).count().where(F.col("count") > TILE).select(group, F.ceil(F.col("count") / TILE).cast("int").alias("_parts")))
+    some = hot.count()
+    if not some:
+        return rows.withColumnRenamed(group, "g")
+    rows = rows.join(F.broadcast(hot) if some <= FEW else hot, group, "left").withColumn("_i", F.pmod(F.xxhash64(by, F.lit(7)), F.col("_parts")).cast("int"))
     each = F.when(F.col("_parts").isNull(), F.array(F.col(group))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.xxhash64(group, F.least("_i", j), F.greatest("_i", j)))
     )
     return rows.withColumn("_g", F.explode(each)).drop(group, "_parts", "_i").withColumnRenamed("_g", "g")
 
 
-def tiles(fps: DataFrame, radius: int, n: int) -> DataFrame:
+def tiles(fps: DataFrame, radius: int, n: int, spare: int | None = None) -> DataFrame:
     """``(fp, ..., t, g)``: each row once for each tile ``g`` of each table ``t`` that it takes part in; other columns ride along."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks(n, radius)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(n, radius, spare)]
     keys = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("bigint"))).alias("k")) for t, m in enumerate(signed)]
     keyed = fps.withColumn("_tk", F.explode(F.array(*keys))).select(*fps.columns, "_tk.t", "_tk.k")
     return split_groups(keyed, "k", "fp")
@@ -241,10 +261,10 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col:
     return marked.join(names, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def partnered(fps: DataFrame, radius: int) -> DataFrame:
+def partnered(fps: DataFrame, radius: int, spare: int | None = None) -> DataFrame:
     """``(g, fp)``: the groups in which a distinct fingerprint has partners within ``radius`` bits; a pair shows in the first table that brings it together."""
     n = fps.count()
-    bits_of = np.array(masks(n, radius), np.uint64)
+    bits_of = np.array(masks(n, radius, spare), np.uint64)
 
     def flush(cols):
         g, values, table = cols[0], cols[1].astype(np.int64, copy=False), cols[2]
@@ -259,7 +279,7 @@ def partnered(fps: DataFrame, radius: int) -> DataFrame:
         if keep:
             yield pa.record_batch([pa.array(g[keep]), pa.array(values[keep])], names=["g", "fp"])
 
-    dealt = in_groups(tiles(fps.select("fp"), radius, n), "fp", "t")
+    dealt = in_groups(tiles(fps.select("fp"), radius, n, spare), "fp", "t")
     return dealt.mapInArrow(lambda it: grouped(it, flush), "g bigint, fp bigint").distinct()
 
 
@@ -277,18 +297,18 @@ def resemblance(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def near_dedup(docs: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8, spare: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` less near duplicates: of each group of linked texts the rows with the smallest id stay, with all their columns.
 
     Texts are linked if their fingerprints differ in at most ``radius`` bits and their sets of ``words``-word shingles have a Jaccard
-    similarity of at least ``similarity``; equal shingle sets always are. Null and blank texts are equal. A null id counts as the largest. Rows
+    similarity of at least ``similarity``; equal shingle sets always are. ``spare`` parts of the fingerprint must agree in a bucket. Null and blank texts are equal. A null id counts as the largest. Rows
     that share an id stay or go together. An empty table gives an empty one.
     """
     ident = F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))
     plain = docs.select(ident.alias("id"), F.col(text_col).cast("string").alias("text"))
     marked = materialise(fingerprints(plain, words, "id", "text"))
     counts = materialise(marked.groupBy("fp").agg(F.count("*").alias("n")))
-    near = materialise(partnered(counts.select("fp"), radius))
+    near = materialise(partnered(counts.select("fp"), radius, spare))
     places = near.unionByName(counts.where("n > 1").select(F.xxhash64(F.lit("same"), "fp").alias("g"), "fp"))
     some = marked.join(places.select("fp").distinct(), "fp", "left_semi")
 

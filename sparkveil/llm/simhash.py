@@ -297,7 +297,7 @@ def resemblance(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def near_dedup(docs: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8, spare: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8, spare: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` less near duplicates: of each group of linked texts the rows with the smallest id stay, with all their columns.
 
     Texts are linked if their fingerprints differ in at most ``radius`` bits and their sets of ``words``-word shingles have a Jaccard

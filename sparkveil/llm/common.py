@@ -35,9 +35,10 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of ``rows`` rows in this session, unless it has a setting of its own: texts are long, and the default of 10,000 rows costs memory."""
+    """Arrow batches of ``rows`` rows and 4 MB at most in this session, unless it has settings of its own: texts are long, and the defaults cost memory."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -58,7 +58,7 @@ def majority(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     run = np.repeat(np.arange(len(first)), pieces)
     cut = first[run] + 255 * (np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     out = np.zeros((len(first), 64), np.int64)
-    step = 2048
+    step = 512
     for lo in range(0, len(cut), step):
         part = cut[lo : lo + step]
         end = cut[lo + step] if lo + step < len(cut) else len(h)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import materialise
 
 END_ID = 2
-CACHE = 400_000
+CACHE = 150_000
 _TAIL = b".,;:!?*#$%&()[]{}-+=/\"<>|~^_`@\\"
 
 

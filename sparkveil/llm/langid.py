@@ -23,7 +23,7 @@ ROWS_LOG2 = 21
 SAMPLE_DOCS = 1500
 MIN_SHARE = 2e-5
 MAX_LANGUAGES = 1024
-_STEP = 1 << 20
+_STEP = 1 << 16
 
 
 @functools.cache
@@ -113,8 +113,8 @@ class Filters:
             return "und", 0.0, 0.0
         n = size = 0
         seen = np.zeros(len(self.languages), np.int64)
-        while size < len(code):  # long texts by parts that overlap by less than an n-gram
-            h = ngrams(code[max(0, size - max(SIZES) + 1) : size + _STEP] if size else code[:_STEP])
+        while size < len(code):  # long texts by parts; for each size, parts overlap by less than an n-gram
+            h = np.concatenate([ngrams(code[max(0, size - k + 1) : size + _STEP], (k,)) for k in SIZES]) if size else ngrams(code[:_STEP])
             seen += self.counts(h)
             n += len(h)
             size += _STEP

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import materialise
 
 END_ID = 2
-CACHE = 150_000
+CACHE = 400_000
 _TAIL = b".,;:!?*#$%&()[]{}-+=/\"<>|~^_`@\\"
 
 
@@ -41,7 +41,7 @@ class WordEncoder(dict):
     a bounded size: as one is full it takes the place of the older one, from which words in use are taken over.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -50,6 +50,7 @@ class WordEncoder(dict):
             raise ValueError("ids beyond 16 bits")
         self.model = self.tokenizer.model
         self.older: dict[bytes, bytes] = {}
+        self.cache = cache
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
@@ -65,7 +66,7 @@ class WordEncoder(dict):
         return ids
 
     def encode(self, text: str | None) -> bytes:
-        if len(self) > CACHE:
+        if len(self) > self.cache:
             self.older = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, (text or "").encode("utf-8").lower().split()))
@@ -79,12 +80,12 @@ def _packed(ids: list[int]) -> bytes:
 
 
 @functools.cache
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cache: int = CACHE) -> WordEncoder:
     """One for each worker process."""
-    return WordEncoder(path)
+    return WordEncoder(path, cache)
 
 
-def token_table(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_table(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", cache: int = CACHE) -> DataFrame:
     """``(id, part, before, n, ids)``: 16-bit ids of every whole text and ``end_id``, the partition and the ids before it there."""
     path = vocabulary or default_vocabulary()
     kind = docs.schema[id_col].dataType.simpleString()
@@ -92,7 +93,7 @@ def token_table(docs: DataFrame, vocabulary: str | None = None, end_id: int = EN
     def run(batches):
         from pyspark import TaskContext
 
-        words, part, before = encoder(path), TaskContext.get().partitionId(), 0
+        words, part, before = encoder(path, cache), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
             at = 0
@@ -111,14 +112,14 @@ def token_table(docs: DataFrame, vocabulary: str | None = None, end_id: int = EN
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, part int, before bigint, n bigint, ids binary")
 
 
-def pack(docs: DataFrame, length: int = 4096, vocabulary: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, length: int = 4096, vocabulary: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Pieces of documents in sequences of ``length`` ids: ``(id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset)``, and the ids themselves on demand.
 
     Every row of ``docs`` is packed, repeated ones too; a null or empty text is the end id alone;
-    other columns are not looked at; an empty table gives no pieces.
+    other columns are not looked at; an empty table gives no pieces. ``cache``: words that each of a worker's two tables holds.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    table = materialise(token_table(docs, vocabulary, end_id, id_col, text_col))
+    table = materialise(token_table(docs, vocabulary, end_id, id_col, text_col, cache))
     totals = table.groupBy("part").agg(F.sum("n").alias("total"))
     ahead = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("ahead"))
     size = length

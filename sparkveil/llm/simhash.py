@@ -17,13 +17,14 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import connected_components, materialise
 
 TILE = 2048
 BLOCK = 512
 FEW = 50_000
+SIGNS = 16
 
 
 def shingle_hashes(text: str | None, words: int) -> list[int]:
@@ -228,6 +229,62 @@ def in_groups(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select("g", *columns).repartition("g").sortWithinPartitions("g")
 
 
+def shared(lines: DataFrame) -> DataFrame:
+    """``(g, key)``: the rows of each sign or piece that more than one row has. ``signs`` and ``pieces`` are 32-bit numbers; signs count by place, 0 is none."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, out = batch.column(0).to_numpy(), []
+            for name, first in (("signs", 0), ("pieces", 2 * SIGNS)):
+                parts = [np.frombuffer(b, "<u4") for b in batch.column(name).to_pylist()]
+                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+                v = np.concatenate(parts).astype(np.int64)
+                at = np.arange(len(v)) - np.repeat(np.cumsum(sizes) - sizes, sizes) if not first else np.full(len(v), first)
+                some = v != 0
+                out.append((at[some] << 32 | v[some], np.repeat(keys, sizes)[some]))
+            g, k = (np.concatenate(x) for x in zip(*out))
+            yield pa.record_batch([pa.array(g), pa.array(k)], names=["g", "key"])
+
+    rows = lines.select("key", "signs", "pieces").mapInArrow(run, "g bigint, key bigint")
+    by = Window.partitionBy("g").orderBy("key")
+    near = rows.withColumn("_a", F.lag("key").over(by)).withColumn("_b", F.lead("key").over(by))
+    return near.where("_a is not null or _b is not null").select("g", "key")
+
+
+def first_places(places: DataFrame, signs: DataFrame) -> DataFrame:
+    """``(g, key)`` of ``shared`` without those of which a pair needs none: it meets by the first sign that it shares, the later ``SIGNS`` counting only if two are shared, or by a piece."""
+
+    def flush(cols):
+        place, keys = cols[1], cols[2]
+        table = np.zeros((len(keys), 2 * SIGNS), np.uint32)
+        for i, x in enumerate(cols[3]):
+            table[i, : len(x) // 4] = np.frombuffer(x, "<u4")
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(cols[0])) + 1, [len(keys)])).tolist()
+        keep = np.zeros(len(keys), bool)
+        for lo, hi in zip(cut, cut[1:]):
+            sign = int(place[lo]) >> 32
+            if sign >= 2 * SIGNS:
+                keep[lo:hi] = True
+                continue
+            for i in range(lo, hi - 1):
+                same = (table[i + 1 : hi] == table[i]) & (table[i] != 0)
+                if sign < SIGNS:
+                    ok = ~same[:, :sign].any(axis=1)
+                else:
+                    ok = ~same[:, :sign].any(axis=1) & (same[:, SIGNS:].sum(axis=1) > 1)
+                if ok.any():
+                    keep[i] = True
+                    keep[i + 1 : hi] |= ok
+        if keep.any():
+            yield pa.record_batch([pa.array(place[keep]), pa.array(keys[keep])], names=["g", "key"])
+
+    tiled = split_groups(places.withColumn("place", F.col("g")).withColumnRenamed("g", "k"), "k", "key").join(signs, "key")
+    found = in_groups(tiled, "place", "key", "signs").mapInArrow(lambda it: grouped(it, flush, 64), "g bigint, key bigint")
+    return materialise(found.distinct())
+
+
 def near_links(fps: DataFrame, radius: int) -> DataFrame:
     """``(a, b)``: links that join every two fingerprints of ``fps.fp`` (distinct, not null) at most ``radius`` bits apart, directly or by others."""
 
@@ -261,28 +318,6 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col:
     return marked.join(names, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def partnered(fps: DataFrame, radius: int, spare: int | None = None) -> DataFrame:
-    """``(g, fp)``: the groups in which a distinct fingerprint has partners within ``radius`` bits; a pair shows in the first table that brings it together."""
-    n = fps.count()
-    bits_of = np.array(masks(n, radius, spare), np.uint64)
-
-    def flush(cols):
-        g, values, table = cols[0], cols[1].astype(np.int64, copy=False), cols[2]
-        rows, bits = within(values.view(np.uint64), radius)
-        keep = []
-        for k, i in enumerate(rows.tolist()):
-            js = lanes(bits[k])
-            x = (values[js] ^ values[i]).view(np.uint64)
-            first = ((x[:, None] & bits_of[None, :]) == 0).argmax(axis=1)
-            if ((first == table[i]) & (g[js] == g[i])).any():
-                keep.append(i)
-        if keep:
-            yield pa.record_batch([pa.array(g[keep]), pa.array(values[keep])], names=["g", "fp"])
-
-    dealt = in_groups(tiles(fps.select("fp"), radius, n, spare), "fp", "t")
-    return dealt.mapInArrow(lambda it: grouped(it, flush), "g bigint, fp bigint").distinct()
-
-
 def shingle_set(text: str | None, words: int) -> bytes:
     """The distinct shingles of a text as sorted 32-bit hashes."""
     return np.unique(np.array(shingle_hashes(text, words), np.uint64).astype("<u4")).tobytes()
@@ -297,33 +332,53 @@ def resemblance(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def near_dedup(docs: DataFrame, words: int = 5, radius: int = 12, similarity: float = 0.8, spare: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+BANDS, ROWS = 12, 3
+_MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
+
+
+def band_signs(shingles: bytes) -> bytes:
+    """``BANDS`` signs of a shingle set, each of the least members in ``ROWS`` random orders."""
+    h = np.frombuffer(shingles, "<u4").astype(np.uint64)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(h), 4096):
+        least = np.minimum(least, (h[None, at : at + 4096] * _MULTIPLIERS[:, :1] + _MULTIPLIERS[:, 1:] >> np.uint64(20)).min(axis=1))
+    bands = least.reshape(BANDS, ROWS)
+    return np.array([max(1, xxhash.xxh32_intdigest(b.tobytes())) for b in bands], "<u4").tobytes()
+
+
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` less near duplicates: of each group of linked texts the rows with the smallest id stay, with all their columns.
 
-    Texts are linked if their fingerprints differ in at most ``radius`` bits and their sets of ``words``-word shingles have a Jaccard
-    similarity of at least ``similarity``; equal shingle sets always are. ``spare`` parts of the fingerprint must agree in a bucket. Null and blank texts are equal. A null id counts as the largest. Rows
+    Texts are linked if their sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``; equal sets always are. Others are
+    compared if they share one of ``BANDS`` signs of ``ROWS`` least members: at a similarity of 0.8 about one pair in 5,000 does not. Null and blank texts are equal. A null id counts as the largest. Rows
     that share an id stay or go together. An empty table gives an empty one.
     """
     ident = F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))
     plain = docs.select(ident.alias("id"), F.col(text_col).cast("string").alias("text"))
-    marked = materialise(fingerprints(plain, words, "id", "text"))
-    counts = materialise(marked.groupBy("fp").agg(F.count("*").alias("n")))
-    near = materialise(partnered(counts.select("fp"), radius, spare))
-    places = near.unionByName(counts.where("n > 1").select(F.xxhash64(F.lit("same"), "fp").alias("g"), "fp"))
-    some = marked.join(places.select("fp").distinct(), "fp", "left_semi")
+
+    def sets_of(batch):
+        sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+        return sets, pa.array(np.array([xxhash.xxh64_intdigest(s, 1) for s in sets], np.uint64).view(np.int64))
 
     def signed(batches):
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words) for t in batch.column(2)]
-            keys = [xxhash.xxh64_intdigest(s, 1) for s in sets]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sets, pa.binary())], names=["id", "fp", "key", "shingles"])
+            sets, keys = sets_of(batch)
+            yield pa.record_batch([batch.column(0), keys, pa.array([band_signs(s) for s in sets], pa.binary())], names=["id", "key", "signs"])
+
+    def whole(batches):
+        for batch in batches:
+            sets, keys = sets_of(batch)
+            yield pa.record_batch([keys, pa.array(sets, pa.binary())], names=["key", "shingles"])
 
-    sets = materialise(some.join(plain, "id").select("id", "fp", "text").mapInArrow(signed, "id bigint, fp bigint, key bigint, shingles binary"))
-    forms = sets.groupBy("fp", "key").agg(F.first("shingles").alias("shingles"))
+    marked = materialise(plain.mapInArrow(signed, "id bigint, key bigint, signs binary"))
+    forms = materialise(marked.groupBy("key").agg(F.min("id").alias("id"), F.first("signs").alias("signs")).withColumn("pieces", F.lit(b"")))
+    places = first_places(materialise(shared(forms)), forms.select("key", "signs"))
+    some = forms.join(places.select("key").distinct(), "key", "left_semi").select("key", "id")
+    sets = plain.join(some.select("id").distinct(), "id").select("id", "text").mapInArrow(whole, "key bigint, shingles binary")
+    sets = materialise(sets.join(some.select("key"), "key", "left_semi").dropDuplicates(["key"]))
 
     def flush(cols):
-        fps, keys, data = cols[1].astype(np.int64, copy=False).view(np.uint64), cols[2], cols[3]
-        rows, bits = within(fps, radius)
+        keys, data = cols[1], cols[2]
         tree = list(range(len(keys)))
 
         def top(i):
@@ -333,18 +388,21 @@ def near_dedup(docs: DataFrame, words: int = 5, radius: int = 12, similarity: fl
             return i
 
         a, b = [], []
-        for k, i in enumerate(rows.tolist()):
-            for j in lanes(bits[k]).tolist():
-                if j > i and top(i) != top(j) and resemblance(data[i], data[j]) >= similarity:
-                    tree[top(j)] = top(i)
-                    a.append(int(keys[i]))
-                    b.append(int(keys[j]))
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(cols[0])) + 1, [len(keys)])).tolist()
+        for lo, hi in zip(cut, cut[1:]):
+            for i in range(lo, hi):
+                for j in range(i + 1, hi):
+                    n, m = sorted((len(data[i]), len(data[j])))
+                    if n >= similarity * m and top(i) != top(j) and resemblance(data[i], data[j]) >= similarity:
+                        tree[top(j)] = top(i)
+                        a.append(int(keys[i]))
+                        b.append(int(keys[j]))
         if a:
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = in_groups(split_groups(places.join(forms, "fp").withColumnRenamed("g", "k"), "k", "key"), "fp", "key", "shingles")
+    dealt = in_groups(split_groups(places.withColumnRenamed("g", "k"), "k", "key").join(sets, "key"), "key", "shingles")
     groups = connected_components(dealt.mapInArrow(lambda it: grouped(it, flush, 64), "a bigint, b bigint"))
-    named = sets.select("id", "key").join(groups.withColumnRenamed("node", "key"), "key", "left").select("id", F.coalesce("component", "key").alias("c"))
+    named = marked.select("id", "key").join(groups.withColumnRenamed("node", "key"), "key", "left").select("id", F.coalesce("component", "key").alias("c"))
     firsts = named.groupBy("c").agg(F.min("id").alias("first"))
     gone = named.join(firsts, "c").where("id <> first").select(F.col("id").alias("_gone")).distinct()
     return docs.join(gone, ident == F.col("_gone"), "left_anti")

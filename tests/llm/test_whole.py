@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkveil.llm import linededup
+from sparkveil.llm import linededup, simhash
 
 
 def test_line_dedup_by_edit_similarity_alone(spark):
@@ -51,3 +51,23 @@ def test_pieces_miss_no_short_pair():
         if 0 < len(b) <= linededup.SHORT and linededup.alike(a, b, 0.8):
             x, y = (set(np.frombuffer(linededup.pieces_of(t, 0.8), "<u4").tolist()) for t in (a, b))
             assert x & y
+
+
+def test_near_dedup_by_jaccard_alone(spark):
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    texts = []
+    for k in range(60):
+        words = [word() for _ in range(300)]
+        other = words[: r.randint(270, 278)] + [word() for _ in range(30)]
+        texts += [" ".join(words), " ".join(other)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    sets = [set(np.frombuffer(simhash.shingle_set(t, 5), "<u4").tolist()) for t in texts]
+    low = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((low[i], low[j]))
+                low = [a if x == b else x for x in low]
+    assert {x.doc_id for x in simhash.near_dedup(df).collect()} == set(low)
+    assert len(set(low)) < 70

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkveil.llm import linededup, simhash
+from sparkveil.llm import linededup, mixing, sharding, simhash
 
 
 def test_line_dedup_by_edit_similarity_alone(spark):
@@ -71,3 +71,16 @@ def test_near_dedup_by_jaccard_alone(spark):
                 low = [a if x == b else x for x in low]
     assert {x.doc_id for x in simhash.near_dedup(df).collect()} == set(low)
     assert len(set(low)) < 70
+
+
+def test_near_dedup_of_passages_repeated(spark):
+    r = random.Random(14)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9)))
+    texts = []
+    for _ in range(30):
+        p, q = (" ".join(word() for _ in range(60)) for _ in range(2))
+        texts += [" ".join((p, p, p, p, p, q)), " ".join((p, q, q, q, q, q))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    assert {x.doc_id for x in simhash.near_dedup(df).collect()} == set(range(0, 60, 2))
+    same = spark.createDataFrame([(1, "a b " * 3), (2, "a b " * 30), (3, "b a " * 7)], "doc_id bigint, text string")
+    assert [x.doc_id for x in simhash.near_dedup(same).collect()] == [1]

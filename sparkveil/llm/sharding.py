@@ -134,11 +134,29 @@ def reshard(docs: DataFrame, shards: int = 24, old_shards: int = 16, blocks: int
     return placed.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.col("old").alias("old_shard"), "shard", "slot")
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", files: int = 8) -> list[int]:
-    """Write the documents of the affected shards (those that give or take) below ``path/shard=N`` in slot order; the others' files stay as they are. Ids must be unique. Returns the affected shards."""
-    moved = placed.where("old_shard <> shard")
-    hit = sorted({r[0] for r in moved.select(F.explode(F.array("old_shard", "shard"))).distinct().collect()})
-    kept = placed.where(F.col("shard").isin(hit)).select(id_col, F.col("shard").alias("shard"), "slot")
-    whole = docs.drop("shard", "slot").join(kept, id_col).withColumn("_file", F.pmod(F.xxhash64("slot"), F.lit(files)))
-    whole.repartition("shard", "_file").drop("_file").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id", files: int = 8, text_col: str = "text", old_col: str | None = None) -> list[int]:
+    """Write the documents of the affected shards (those that give or take) below ``path/shard=N`` in slot order; the others' files stay as they are. Returns the affected shards.
+
+    ``placed`` is what ``reshard`` made of ``docs`` with the same columns. Rows are matched by id, text and old shard, equal ones by number, so null
+    and repeated ids are kept. An affected shard that keeps no row loses its files.
+    """
+    hit = sorted({r[0] for r in placed.where("not old_shard <=> shard").select(F.explode(F.array("old_shard", "shard"))).distinct().collect()} - {None})
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    keys = ["_id", "_size", "_crc", "_old", "_nth"]
+    old = F.col(old_col).cast("int") if old_col else F.lit(None).cast("int")
+    marked = docs.withColumn("_id", F.col(id_col)).withColumn("_size", F.octet_length(text).cast("bigint") + 8).withColumn("_crc", F.crc32(text)).withColumn("_old", old).drop("shard", "slot")
+    marked = marked.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys[:4]).orderBy(F.lit(0))))
+    kept = placed.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), (F.col("old_shard") if old_col else old).alias("_old"), "shard", "slot")
+    kept = kept.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys[:4]).orderBy("shard", "slot"))).where(F.col("shard").isin(hit))
+    kept = kept.select(*[F.col(k).alias("_of" + k) for k in keys], "shard", "slot")
+    same = [marked[k].eqNullSafe(kept["_of" + k]) for k in keys]
+    whole = marked.join(kept, same).drop(*keys, *["_of" + k for k in keys]).withColumn("_file", F.pmod(F.xxhash64("slot"), F.lit(files)))
+    dealt = whole.repartition("shard", "_file").drop("_file").sortWithinPartitions("shard", "slot")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    left = {r[0] for r in placed.select("shard").distinct().collect()}
+    spark = docs.sparkSession
+    for shard in hit:
+        if shard not in left:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     return hit

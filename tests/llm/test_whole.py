@@ -84,3 +84,28 @@ def test_near_dedup_of_passages_repeated(spark):
     assert {x.doc_id for x in simhash.near_dedup(df).collect()} == set(range(0, 60, 2))
     same = spark.createDataFrame([(1, "a b " * 3), (2, "a b " * 30), (3, "b a " * 7)], "doc_id bigint, text string")
     assert [x.doc_id for x in simhash.near_dedup(same).collect()] == [1]
+
+
+def test_mix_of_high_rates(spark):
+    df = spark.range(4001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "a").otherwise("b").alias("source"))
+    out = mixing.mix(df, weights={"a": 0.9, "b": 0.1})
+    n = {x["source"]: x["count"] for x in out.groupBy("source").count().collect()}
+    assert abs(n["a"] - 3600.9) < 360 and abs(n["b"] - 400) < 140
+    assert out.where("source = 'a'").select("mix_copy").distinct().count() == n["a"]
+
+
+def test_rewrite_over_a_layout(spark, tmp_path):
+    path = str(tmp_path / "layout")
+    rows = [(i, "x" * 20, 0, i) for i in range(40)] + [(100 + i, "y" * 20, 1, i) for i in range(20)] + [(200 + i, "z" * 20, 2, i) for i in range(4)] + [(None, "n", 3, 1), (None, "n", 3, 2), (7, "r", 3, 3), (7, "r", 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, old int, other int")
+    docs.withColumn("shard", F.col("old")).write.partitionBy("shard").parquet(path)
+    size = lambda i: sum(len(t) + 8 for _, t, o, _ in rows if o == i)
+    whole = [size(0) + size(3), 0, size(2), 0]
+    whole[1] = size(1)
+    placed = sharding.reshard(docs, 4, 4, 4, capacities=whole, old_col="old")
+    before = {p.name for s in (1, 2) for p in (tmp_path / "layout" / f"shard={s}").glob("*.parquet")}
+    assert sharding.rewrite(docs, placed, path, old_col="old") == [0, 3]
+    assert before == {p.name for s in (1, 2) for p in (tmp_path / "layout" / f"shard={s}").glob("*.parquet")}
+    got = spark.read.parquet(path)
+    assert Counter((x.doc_id, x.text, x.old, x.other) for x in got.collect()) == Counter(rows)
+    assert {x.shard for x in got.where("old = 3").collect()} == {0}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: The mean of one draw at most; a higher rate is the sum of as many draws as it takes.
 MAX_RATE = 1000.0
 SMALL = 4096
 
@@ -55,20 +56,24 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     """All columns of ``docs`` for each repetition of each document, and ``mix_copy`` (from 0) and ``mix_key``; globally shuffled, ordered by ``mix_key`` in each partition.
 
     Rows that share an id draw the same count. A null id draws like an empty one. A document whose draw is 0 is not in the mix:
-    that is what a rate below 1 asks for. A rate over ``MAX_RATE`` is an error. Columns named ``mix_*`` are replaced; an empty
+    that is what a rate below 1 asks for. A rate over ``MAX_RATE`` is drawn in parts, by further hashes of the id. Columns named ``mix_*`` are replaced; an empty
     table gives an empty one.
     """
-    docs = docs.drop("mix_copy", "mix_key")
-    table = rates(docs, weights, temperature, total, source_col).select(
-        F.col("source").alias("mix_source"), poisson_table(F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(F.raise_error(F.lit("a source's repetition rate is too high")).cast("double"))).alias("mix_cdf")
-    )
+    docs = docs.drop("mix_copy", "mix_key", "mix_parts", "mix_times")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE).cast("int"))
+    table = rates(docs, weights, temperature, total, source_col).withColumn("mix_parts", parts)
+    table = table.select(F.col("source").alias("mix_source"), "mix_parts", poisson_table(F.col("rate") / F.col("mix_parts")).alias("mix_cdf"))
     source = F.col(source_col).cast("string")
     few = len(docs.select(source.alias("s")).distinct().limit(SMALL + 1).collect()) <= SMALL
     joined = docs.join(F.broadcast(table) if few else table, source.eqNullSafe(F.col("mix_source")))
-    times = F.transform(F.array(uniform(seed, F.col(id_col))), lambda u: F.aggregate("mix_cdf", F.lit(0), lambda acc, p: acc + (p <= u).cast("int")))[0]
+    more = F.when(F.col("mix_parts") > 1, F.transform(F.sequence(F.lit(1), F.col("mix_parts") - 1), lambda i: uniform(seed + "-more", i, F.col(id_col)))).otherwise(F.array().cast("array<double>"))
+    draws = F.transform(F.concat(F.array(uniform(seed, F.col(id_col))), more), lambda u: F.aggregate("mix_cdf", F.lit(0), lambda acc, p: acc + (p <= u).cast("int")))
+    times = F.aggregate(draws, F.lit(0), lambda acc, n: acc + n)
+    joined = joined.withColumn("mix_times", times)
+    times = F.col("mix_times")
     copies = joined.withColumn("mix_copy", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1))))
     key = F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("mix_copy").cast("string")))
-    return copies.withColumn("mix_key", key).drop("mix_source", "mix_cdf").repartition("mix_key").sortWithinPartitions("mix_key")
+    return copies.withColumn("mix_key", key).drop("mix_source", "mix_cdf", "mix_parts", "mix_times").repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 def mix_sql(table: str = "documents", temperature: float = 0.5, total: float = 1.0, seed: str = "mix", columns: str = "doc_id, text, lang, source, n_chars", extra: str = ", mix_copy, mix_key") -> str:

@@ -64,7 +64,7 @@ CONFIDENCE = 0.95
 #: Type names whose placeholder does not follow from the name.
 _NAMED = {"md5_hex": "MD5_HASH", "sha1_hex": "SHA1_HASH", "sha256_hex": "SHA256_HASH"}
 #: Signs without which a pattern cannot match; others need a digit.
-_NEEDS = {"email": ["@"], "link": ["://", "www."], "git_repo": [".git"], "po_box": ["Box"], "md5_hex": [], "sha1_hex": [], "sha256_hex": [], "guid": ["-"], "mac_address": []}
+_NEEDS = {"email": ["@"], "link": ["://", "www."], "git_repo": [".git"], "po_box": ["Box"], "isbn": [], "md5_hex": [], "sha1_hex": [], "sha256_hex": [], "guid": ["-"], "mac_address": []}
 
 
 def priority(kind: str) -> int:
@@ -86,6 +86,7 @@ class Detector:
     placeholder: str = "[REDACTED]"
     confidence: float = CONFIDENCE
     needs: tuple[str, ...] | None = ()  # one of these must be in the text; None: a digit must
+    trusted: bool = False  # a built-in pattern, which no text makes slow
 
 
 @dataclass(frozen=True)
@@ -116,4 +117,4 @@ class Registry:
 
 
 def default_registry(**limits) -> Registry:
-    return Registry(tuple(Detector(k, p, priority(k), placeholder(k), CONFIDENCE, tuple(_NEEDS[k]) if k in _NEEDS else None) for k, p in PATTERNS.items()), **limits)
+    return Registry(tuple(Detector(k, p, priority(k), placeholder(k), CONFIDENCE, tuple(_NEEDS[k]) if k in _NEEDS else None, True) for k, p in PATTERNS.items()), **limits)

@@ -11,15 +11,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, functions as F
 
 DEFAULT_SALT = "default_salt_change_in_production"
-FIRST = "Ada Ben Cleo Dan Eva Finn Gwen Hugo Iris Jack Kira Liam Mona Nils Olga Paul".split()
-LAST = "Archer Brook Carver Dale Ellis Frost Grant Hale Irwin Judd Kerr Lowe Marsh North Otis Pryce".split()
-MAIL = "sample.com example.net test.org mail.example post.example".split()
-STREETS = ["Oak Street", "Elm Avenue", "Mill Lane", "Park Road", "Hill Drive", "Lake View", "High Street", "Station Road"]
-CITIES = "Ashford Brightwater Clearfield Dunmore Eastvale Fairhaven Glenrock Harborview".split()
-STATES = "Northland Southmark Eastholm Westria Midvale Lakeshire".split()
-COUNTRIES = "Arvania Belmora Cordia Delvara Estoria Farland".split()
-FIRMS = ["Acorn Works", "Blue Harbor", "Cedar Systems", "Delta Foods", "Ember Labs", "Falcon Freight"]
-SUFFIX = "Ltd Inc Group Partners".split()
+FIRST = "Ada Ben Cleo Dan Eva Finn Gwen Hugo Iris Jack Kira Liam Mona Nils Olga Paul Quinn Rosa Sven Tara Uma Vic Wren Xena Yara Zeno Alma Bram Cora Dirk Elsa Fritz".split()
+LAST = "Archer Brook Carver Dale Ellis Frost Grant Hale Irwin Judd Kerr Lowe Marsh North Otis Pryce Quill Rowe Stone Thorne Upton Vance West Yorke Zane Alder Birch Cole Drake Ember Flint Glenn".split()
+USERS = "user contact person someone member guest client sample reader visitor".split()
+MAIL = "sample.com example.net test.org mail.example post.example demo.example web.example inbox.example note.example site.example".split()
+STREETS = [f"{a} {b}" for a, b in zip("Oak Elm Mill Park Hill Lake High Station Cedar Maple Bridge Garden Spring River Church Queen King".split(), "Street Avenue Lane Road Drive View Street Road Court Place Way Close Lane Road Street Avenue Drive".split())]
+CITIES = "Ashford Brightwater Clearfield Dunmore Eastvale Fairhaven Glenrock Harborview Ironwood Juniper Kingsport Larkhill Meadowbrook Newfield Oakdale Pinehurst Redstone Silverton".split()
+STATES = "Northland Southmark Eastholm Westria Midvale Lakeshire Highmoor Lowfen Greenway Riverton Stonegate Woodland Seaboard Hillcrest Plainview Sunfield Coalport Snowdale".split()
+COUNTRIES = "Arvania Belmora Cordia Delvara Estoria Farland Galdova Hestia Ivoria Jorvik Kaldera Lumenia Morvia Noravia Ostland Pelagia Rovinia Sardovia".split()
+FIRMS = "Acorn Blue Cedar Delta Ember Falcon Granite Harbor Ivory Jade Kestrel Lunar".split()
+SUFFIX = "Ltd Inc Group Partners Works Systems Foods Labs Freight Holdings Trading Services".split()
 
 
 @dataclass(frozen=True)
@@ -143,10 +144,10 @@ class FakeData(Strategy):
         k = f"lower({kind})"
         size = d.bytes(text)
         return (
-            f"CASE WHEN {k} IN ('name', 'person_name') THEN concat({one('f', FIRST)}, ' ', {one('l', LAST)}) WHEN {k} = 'email' THEN concat(lower({one('f', FIRST)}), '@', {one('m', MAIL)}) "
-            f"WHEN {k} IN ('phone', 'phone_number') THEN concat('555-', CAST(100 + {n('x', 900)} AS STRING), '-', {_padded(n('y', 10000), 4)}) "
+            f"CASE WHEN {k} IN ('name', 'person_name') THEN concat({one('f', FIRST)}, ' ', {one('l', LAST)}) WHEN {k} = 'email' THEN concat({one('u', USERS)}, '@', {one('m', MAIL)}) "
+            f"WHEN {k} IN ('phone', 'phone_number') THEN concat('555-', {_padded(n('x', 1000), 3)}, '-', {_padded(n('y', 10000), 4)}) "
             f"WHEN {k} = 'address' THEN concat(CAST(1 + {n('n', 9999)} AS STRING), ' ', {one('s', STREETS)}) WHEN {k} = 'company' THEN concat({one('c', FIRMS)}, ' ', {one('u', SUFFIX)}) "
-            f"WHEN {k} = 'date_of_birth' THEN concat(CAST(1950 + {n('y', 50)} AS STRING), '-', {_padded('1 + ' + n('m', 12), 2)}, '-', {_padded('1 + ' + n('d', 28), 2)}) "
+            f"WHEN {k} = 'date_of_birth' THEN concat(CAST(1970 + {n('y', 50)} AS STRING), '-', {_padded('1 + ' + n('m', 12), 2)}, '-', {_padded('1 + ' + n('d', 28), 2)}) "
             f"WHEN {k} = 'city' THEN {one('c', CITIES)} WHEN {k} = 'state' THEN {one('c', STATES)} WHEN {k} = 'country' THEN {one('c', COUNTRIES)} "
             f"WHEN {size} <= 5 THEN 'FAKE' WHEN {size} <= 15 THEN 'FAKE_DATA' ELSE 'REALISTIC_FAKE_DATA_PLACEHOLDER' END"
         )
@@ -222,7 +223,7 @@ class StrategyRegistry:
         """0 if the type is not supported or reversal is asked for, else 10 and 3, 3 and 2 for a kept format, the accuracy and the speed asked for."""
         if kind.lower() not in strategy.kinds or "reversible" in features:
             return 0
-        return 10 + 3 * ("format_preserving" in features and strategy.formats) + 3 * (bool(accuracy) and accuracy == strategy.accuracy) + 2 * (speed == "fast")
+        return 10 + 3 * ("format_preserving" in features and strategy.formats) + 3 * (bool(accuracy) and accuracy.lower() == strategy.accuracy) + 2 * (speed.lower() == "fast")
 
     def best_for(self, kind: str, features=(), accuracy: str = "", speed: str = "") -> Strategy:
         """The default unless something is asked for and another strategy scores higher; ties go by name."""

@@ -1,15 +1,31 @@
-"""Detection, overlap resolution and rewriting as column expressions: no shuffle, no Python on the executors."""
+"""Detection, overlap resolution and rewriting: no shuffle, one pass over a text.
+
+A text goes through one Arrow function that searches it with every detector whose signs it has, resolves overlaps in one pass over the sorted
+candidates, and returns the spans kept and the gaps between them; what becomes of a span is a column expression over these.
+Time is linear in the number of spans, plans stay small, and a repetition of groups costs no Java stack. The function is marked as not
+deterministic, so that no filter on its result is pushed below it to run it twice.
+"""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.detectors import Detector, Registry, default_registry
-from ..functions.regex import check, to_java
+from ..functions.regex import check, compiled, to_java
 
 _SPAN = "array<struct<start:int,nlen:int,nprio:int,type:string,original:string,placeholder:string,confidence:double>>"
+_KEPT = "array<struct<type:string,start:int,end:int,original:string,placeholder:string,confidence:double,context:string>>"
+_FOUND = f"struct<gaps:array<string>,spans:{_KEPT}>"
+_SPAN_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("nlen", pa.int32()), ("nprio", pa.int32()), ("type", pa.string()), ("original", pa.string()), ("placeholder", pa.string()), ("confidence", pa.float64())]))
+_KEPT_ARROW = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("original", pa.string()), ("placeholder", pa.string()), ("confidence", pa.float64()), ("context", pa.string())]))
+_FOUND_ARROW = pa.struct([("gaps", pa.list_(pa.string())), ("spans", _KEPT_ARROW)])
+_DIGIT = re.compile("[0-9]")
+#: Bytes of context to each side of a span.
+WINDOW = 20
 
 
 @dataclass(frozen=True)
@@ -39,68 +55,92 @@ def matches(text: Column, detector: Detector) -> Column:
     return F.when(may_match(text, detector), F.regexp_extract_all(text, F.lit(to_java(detector.regex)), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
-def spans_of(text: Column, detector: Detector) -> Column:
-    """The matches with their place: what stands between them, split at the pattern, gives the offsets (in characters)."""
-    java = F.lit(to_java(detector.regex))
-    pairs = F.arrays_zip(F.split(text, to_java(detector.regex), -1).alias("gap"), F.regexp_extract_all(text, java, F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+def search(text: str, registry: Registry) -> list[tuple]:
+    """Spans of all detectors, ordered by start, the longer first, the higher priority first, then by type: start, -length, -priority, type, original, placeholder, confidence, in characters."""
+    out, digit = [], _DIGIT.search(text) is not None
+    for d in registry.detectors:
+        if d.needs is None and not digit or d.needs and not any(sign in text for sign in d.needs):
+            continue
+        for m in compiled(d.regex, d.trusted)(text):
+            if m.end() > m.start():
+                out.append((m.start(), m.start() - m.end(), -d.priority, d.kind, m.group(), d.placeholder, d.confidence))
+    out.sort(key=lambda s: s[:4])
+    return out
+
+
+def fold(spans: list[tuple]) -> list[tuple]:
+    """Disjoint spans of sorted ones. Each candidate meets the last one kept: it is added if it begins at or after its end, takes its place if it is longer, or as long and of higher priority, and else goes."""
+    kept: list[tuple] = []
+    for s in spans:
+        if not kept or s[0] >= kept[-1][0] - kept[-1][1]:
+            kept.append(s)
+        elif s[1:3] < kept[-1][1:3]:
+            kept[-1] = s
+    return kept
+
+
+def found(text: str, spans: list[tuple]) -> dict:
+    """The gaps between disjoint ascending spans, and the spans with byte offsets and context."""
+    gaps, out, at = [], [], 0
+    raw = text.encode("utf-8", "surrogatepass") if spans else b""
+    place = 0  # bytes up to ``at``
+    for start, nlen, _, kind, original, shown, confidence in spans:
+        gap = text[at:start]
+        gaps.append(gap)
+        first = place + len(gap.encode("utf-8", "surrogatepass"))
+        place = first + len(original.encode("utf-8", "surrogatepass"))
+        at = start - nlen
+        context = raw[max(0, first - WINDOW) : place + WINDOW].decode("utf-8", "replace")
+        out.append({"type": kind, "start": first, "end": place, "original": original, "placeholder": shown, "confidence": confidence, "context": context})
+    gaps.append(text[at:])
+    return {"gaps": gaps, "spans": out}
+
+
+def _as_dicts(spans: list[tuple]) -> list[dict]:
+    names = ("start", "nlen", "nprio", "type", "original", "placeholder", "confidence")
+    return [dict(zip(names, s)) for s in spans]
 
-    def step(acc: Column, pair: Column) -> Column:
-        at = acc["at"] + F.char_length(pair["gap"])
-        size = F.char_length(pair["hit"])
-        span = F.struct(at.alias("start"), (-size).alias("nlen"), F.lit(-detector.priority).alias("nprio"), F.lit(detector.kind).alias("type"), pair["hit"].alias("original"), F.lit(detector.placeholder).alias("placeholder"), F.lit(float(detector.confidence)).alias("confidence"))
-        return F.when(pair["hit"].isNull(), acc).otherwise(F.struct((at + size).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans")))
 
-    return F.when(may_match(text, detector), F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPAN))
+def candidates(text: Column, registry: Registry) -> Column:
+    """All detectors' spans in the order of ``search``; null for a null text."""
 
+    @F.arrow_udf(_SPAN)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _as_dicts(search(t, registry)) for t in texts.to_pylist()], _SPAN_ARROW)
 
-def candidates(text: Column, registry: Registry) -> Column:
-    """Spans of all detectors, ordered by start, the longer first, the higher priority first, then by type."""
-    return F.array_sort(F.flatten(F.array(*[spans_of(text, d) for d in registry.detectors])))
+    return run.asNondeterministic()(text)
 
 
 def resolve(spans: Column) -> Column:
-    """Disjoint spans. Each candidate meets the last one kept: it is added if it begins at or after its end, takes its place if it is longer, or as long and of higher priority, and else goes."""
+    """Disjoint spans of sorted ones, as ``fold`` has it."""
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        free = (F.size(acc) == 0) | (x["start"] >= last["start"] - last["nlen"])
-        beats = (x["nlen"] < last["nlen"]) | ((x["nlen"] == last["nlen"]) & (x["nprio"] < last["nprio"]))
-        return F.when(free, F.concat(acc, F.array(x))).when(beats, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(x))).otherwise(acc)
+    @F.arrow_udf(_SPAN)
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else _as_dicts(fold([tuple(s.values()) for s in r])) for r in rows.to_pylist()], _SPAN_ARROW)
 
-    return F.aggregate(spans, F.array().cast(_SPAN), step)
+    return run.asNondeterministic()(spans)
 
 
-def rewrite(text: Column, spans: Column, replacement=lambda s: s["placeholder"]) -> Column:
-    """The text with disjoint ascending spans replaced."""
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
+def spans_of(text: Column, registry: Registry) -> Column:
+    """A struct of ``gaps`` and resolved ``spans`` of a text; null for a null text."""
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"], s["start"] + 1 - acc["at"])
-        return F.struct((s["start"] - s["nlen"] + 1).alias("at"), F.concat(acc["out"], F.array(gap, replacement(s))).alias("out"))
+    @F.arrow_udf(_FOUND)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else found(t, fold(search(t, registry))) for t in texts.to_pylist()], _FOUND_ARROW)
 
-    def finish(acc: Column) -> Column:
-        return F.array_join(F.concat(acc["out"], F.array(F.substring(text, acc["at"], F.char_length(text)))), "")
+    return run.asNondeterministic()(text)
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, finish))
 
+def rewrite(text: Column, parts: Column, replacement=lambda s: s["placeholder"]) -> Column:
+    """The text with the spans of ``parts``, as from ``spans_of``, replaced."""
+    each = F.transform(F.arrays_zip(parts["gaps"], parts["spans"]), lambda x: F.concat(x["gaps"], F.when(x["spans"].isNull(), "").otherwise(replacement(x["spans"]))))
+    return F.when(F.size(parts["spans"]) == 0, text).otherwise(F.array_join(each, ""))
 
-def context(text: Column, start: Column, end: Column, window: int = 20) -> Column:
-    """The text around byte offsets, ``window`` bytes to each side; a cut character is repaired."""
-    raw = F.encode(text, "UTF-8")
-    low = F.greatest(F.lit(0), start - window)
-    return F.make_valid_utf8(F.substring(raw, low + 1, F.least(F.octet_length(raw), end + window) - low).cast("string"))
 
-
-def reported(text: Column, spans: Column) -> Column:
+def reported(parts: Column) -> Column:
     """Spans as a result reports them: byte offsets, placeholder, confidence and context, from the last to the first."""
-
-    def one(s: Column) -> Column:
-        at = F.octet_length(F.substring(text, F.lit(1), s["start"]))
-        end = at + F.octet_length(s["original"])
-        return F.struct(s["type"].alias("type"), at.alias("start"), end.alias("end"), s["original"].alias("original"), s["placeholder"].alias("replacement"), s["confidence"].alias("confidence"), context(text, at, end).alias("context"))
-
-    return F.reverse(F.transform(spans, one))
+    keep = ("type", "start", "end", "original")
+    return F.reverse(F.transform(parts["spans"], lambda s: F.struct(*[s[k].alias(k) for k in keep], s["placeholder"].alias("replacement"), s["confidence"].alias("confidence"), s["context"].alias("context"))))
 
 
 #: What a span becomes in each mode beyond plain replacement; the plain engine treats all modes as ``replace``.
@@ -113,37 +153,39 @@ MODES = {
 }
 
 
-def redact(df: DataFrame, text_col: str = "text", registry: Registry | None = None, custom: tuple[CustomPattern, ...] = (), mode: str = "replace", effective_modes: bool = False, apply_custom: bool = False, strict: bool = True, key: str | None = None) -> DataFrame:
-    """``df`` with ``redacted_text``, ``redactions`` and ``n_spans``.
+def rewrite_texts(df: DataFrame, text_col: str = "text", registry: Registry | None = None, custom: tuple[CustomPattern, ...] = (), mode: str = "replace", effective_modes: bool = False, apply_custom: bool = False, strict: bool = True, key: str | None = None) -> DataFrame:
+    """``df`` with ``redacted_text``, ``redactions`` and ``n_spans`` (columns of these names are replaced, all others are carried along).
 
     A null text gives nulls. A text beyond the registry's byte limit raises an error, or with ``strict=False`` gives nulls
     and ``too_long``. ``mode`` changes nothing unless ``effective_modes`` is set; ``encrypt`` then needs ``key`` (16, 24 or 32 bytes). ``custom`` patterns are looked for in the rewritten text and
     reported after the others; invalid ones are skipped; only ``apply_custom`` lets them change the text.
     """
     registry = registry or default_registry()
-    text = F.col("_text")
-    source = F.col(text_col).cast("string")
+    new = ["redacted_text", "redactions", "n_spans", *([] if strict else ["too_long"])]
+    names = [c for c in df.columns if c not in new]
+    source = F.col(f"`{text_col}`").cast("string")
     long = F.octet_length(source) > registry.max_text_length
     guarded = F.when(~long, source).when(long & F.lit(strict), F.raise_error(F.lit("text exceeds the maximum length")).cast("string"))
-    out = df.withColumn("_text", guarded).withColumn("_spans", F.when(text.isNotNull(), resolve(candidates(text, registry))))
     use = MODES["replace"]
     if effective_modes:
         use = (lambda s: F.base64(F.aes_encrypt(s["original"], F.lit(key), F.lit("ECB")))) if mode == "encrypt" else MODES[mode]
-    out = out.withColumn("redacted_text", rewrite(text, F.col("_spans"), use)).withColumn("redactions", reported(text, F.col("_spans")))
+    row = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.lit(None)
+    out = df.select(row.alias("row"), guarded.alias("text"), F.coalesce(long, F.lit(False)).alias("too_long"))
+    out = out.withColumn("parts", spans_of(F.col("text"), registry))
+    out = out.select("row", "too_long", rewrite(F.col("text"), F.col("parts"), use).alias("redacted_text"), reported(F.col("parts")).alias("redactions"))
     for c in custom:
         try:
             check(c.pattern)
         except ValueError:
             continue
-        d = Detector("custom", c.pattern, 30, c.replacement or "[CUSTOM_REDACTED]", c.confidence)
-        more = F.when(F.col("redacted_text").isNotNull(), spans_of(F.col("redacted_text"), d))
-        out = out.withColumn("_more", more).withColumn("redactions", F.concat("redactions", F.reverse(reported(F.col("redacted_text"), F.col("_more")))))
+        one = Registry((Detector("custom", c.pattern, 30, c.replacement or "[CUSTOM_REDACTED]", c.confidence),), registry.max_text_length)
+        out = out.withColumn("parts", spans_of(F.col("redacted_text"), one))
+        out = out.withColumn("redactions", F.concat("redactions", reported(F.col("parts"))))
         if apply_custom:
-            out = out.withColumn("redacted_text", rewrite(F.col("redacted_text"), F.col("_more")))
-        out = out.drop("_more")
-    if not strict:
-        out = out.withColumn("too_long", F.coalesce(long, F.lit(False)))
-    return out.withColumn("n_spans", F.size("redactions")).drop("_text", "_spans")
+            out = out.withColumn("redacted_text", rewrite(F.col("redacted_text"), F.col("parts")))
+        out = out.drop("parts")
+    out = out.withColumn("n_spans", F.size("redactions"))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names], *new)
 
 
 def explode_spans(redacted: DataFrame, *keep: str) -> DataFrame:

@@ -2,28 +2,98 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.regex import check, to_java
+from ..functions.regex import check, compiled
 
 SCHEMA = "id string, name string, category string, regex string, confidence double, description string, examples array<string>, replacement string, enabled boolean"
 
 
+_KEY = re.compile(r"""("[^"]*"|'[^']*'|[^\s#'"\[{][^:#]*?)\s*:(?:\s+(.*)|)$""")
+
+
+def _scalar(text: str):
+    text = text.strip()
+    if text[:1] == "'":
+        end = re.match(r"'((?:[^']|'')*)'\s*(?:#.*)?$", text)
+        if not end:
+            raise ValueError(f"YAML_PARSE_ERROR: {text}")
+        return end[1].replace("''", "'")
+    if text[:1] == '"':
+        end = re.match(r'("(?:[^"\\]|\\.)*")\s*(?:#.*)?$', text)
+        if not end:
+            raise ValueError(f"YAML_PARSE_ERROR: {text}")
+        try:
+            return json.loads(end[1])
+        except ValueError:
+            return re.sub(r"\\(.)", r"\1", end[1][1:-1])
+    if text[:1] == "[":
+        end = re.match(r"\[(.*)\]\s*(?:#.*)?$", text)
+        if not end:
+            raise ValueError(f"YAML_PARSE_ERROR: {text}")
+        return [_scalar(x) for x in re.findall(r"""\s*("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^,]+?)\s*(?:,|$)""", end[1])]
+    text = re.split(r"(?:^|\s)#", text)[0].strip()
+    if text in ("", "~", "null"):
+        return {} if text == "{}" else None
+    if text == "{}":
+        return {}
+    if text.lower() in ("true", "false"):
+        return text.lower() == "true"
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
 def parse(text: str) -> dict:
-    """A library from a subset of YAML: mappings, lists of mappings and scalars, as libraries are written. ValueError if it is none."""
-    try:
-        import yaml
-
-        out = yaml.safe_load(text)
-    except ImportError:
-        import json
-
-        out = json.loads(text)
-    except Exception as e:
-        raise ValueError(f"YAML_PARSE_ERROR: {e}") from e
-    if not isinstance(out, dict):
+    """A library or a configuration from the part of YAML that they are written in: mappings and lists by indentation, lists in brackets, plain and quoted scalars, comments. ValueError (``YAML_PARSE_ERROR``) for anything else."""
+    lines = [(len(x) - len(x.lstrip(" ")), x.strip()) for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#") and x.strip() != "---"]
+    if any("\t" in x[: len(x) - len(x.lstrip())] for x in text.splitlines()):
+        raise ValueError("YAML_PARSE_ERROR: tab in indentation")
+
+    def block(i: int, deep: int):
+        """(value, next line) of the block that begins at line i with this indentation."""
+        if lines[i][1] == "-" or lines[i][1].startswith("- "):
+            out: list = []
+            while i < len(lines) and lines[i][0] == deep and (lines[i][1] == "-" or lines[i][1].startswith("- ")):
+                rest = lines[i][1][1:].strip()
+                if not rest:
+                    value, i = block(i + 1, lines[i + 1][0]) if i + 1 < len(lines) and lines[i + 1][0] > deep else (None, i + 1)
+                elif _KEY.match(rest):
+                    inner = deep + len(lines[i][1]) - len(rest)
+                    lines[i] = (inner, rest)
+                    value, i = block(i, inner)
+                else:
+                    value, i = _scalar(rest), i + 1
+                out.append(value)
+            return out, i
+        made: dict = {}
+        while i < len(lines) and lines[i][0] == deep:
+            m = _KEY.match(lines[i][1])
+            if not m:
+                raise ValueError(f"YAML_PARSE_ERROR: {lines[i][1]}")
+            key, rest = m[1].strip("\"'"), (m[2] or "").strip()
+            i += 1
+            if rest and not rest.startswith("#"):
+                made[key] = _scalar(rest)
+            elif i < len(lines) and (lines[i][0] > deep or lines[i][0] == deep and lines[i][1].startswith("- ")):
+                made[key], i = block(i, lines[i][0])
+            else:
+                made[key] = None
+        if i < len(lines) and lines[i][0] > deep:
+            raise ValueError(f"YAML_PARSE_ERROR: {lines[i][1]}")
+        return made, i
+
+    if not lines:
+        raise ValueError("YAML_PARSE_ERROR: not a mapping")
+    out, end = block(0, lines[0][0])
+    if end < len(lines) or not isinstance(out, dict):
         raise ValueError("YAML_PARSE_ERROR: not a mapping")
     return out
 
@@ -47,8 +117,7 @@ def pattern_faults(pattern: dict) -> list[tuple[str, str, str]]:
     if not 0 <= float(pattern.get("confidence") or 0) <= 1:
         out.append(("error", "INVALID_CONFIDENCE", str(pattern.get("confidence"))))
     if good:
-        test = re.compile(re.sub(r"\\s", r"[\\t\\n\\f\\r ]", regex) if "[" not in regex else regex, re.ASCII)
-        out += [("warning", "EXAMPLE_MISMATCH", str(k)) for k, e in enumerate(pattern.get("examples") or [], 1) if not test.search(e)]
+        out += [("warning", "EXAMPLE_MISMATCH", str(k)) for k, e in enumerate(pattern.get("examples") or [], 1) if not any(True for _ in compiled(regex)(str(e)))]
     if not pattern.get("replacement"):
         out.append(("warning", "MISSING_REPLACEMENT", ""))
     if ".*.*" in regex or ".+.+" in regex:
@@ -72,6 +141,7 @@ def validate(library: dict) -> dict:
             faults.append(("error", "DUPLICATE_ID", str(p.get("id"))))
         seen.add(p.get("id"))
         faults += pattern_faults(p)
+    meta = library.get("metadata") or {}
     errors, warnings = (sum(f[0] == s for f in faults) for s in ("error", "warning"))
     with_examples = sum(bool(p.get("examples")) for p in patterns)
     score = min(1.0, max(0.0, 1 - 0.1 * errors - 0.02 * warnings + 0.1 * with_examples / len(patterns))) if patterns else 0.0
@@ -82,7 +152,7 @@ def validate(library: dict) -> dict:
         band = "high" if c >= 0.9 else "medium" if c >= 0.7 else "low" if c >= 0.5 else "very_low"
         bands[band] = bands.get(band, 0) + 1
         categories[p.get("category") or ""] = categories.get(p.get("category") or "", 0) + 1
-    stats = {"total": len(patterns), "enabled": sum(bool(p.get("enabled")) for p in patterns), "categories": categories, "confidence_levels": bands, "compliance_score": score, "coverage": sorted(categories)}
+    stats = {"total": len(patterns), "enabled": sum(bool(p.get("enabled")) for p in patterns), "categories": categories, "confidence_levels": bands, "compliance_score": score, "coverage": {"categories": len(categories), **({"compliance_frameworks": meta["compliance_frameworks"]} if "compliance_frameworks" in meta else {})}}
     return {"valid": not errors, "errors": [f for f in faults if f[0] == "error"], "warnings": [f for f in faults if f[0] == "warning"], "statistics": stats}
 
 
@@ -97,8 +167,14 @@ def score_patterns(patterns: DataFrame, examples_match: Column | None = None) ->
     )
 
 
-def scan(df: DataFrame, patterns: list[tuple[str, str]], text_col: str = "text", *keep: str) -> DataFrame:
-    """``(*keep, pattern, n)``: matches of each (id, regex) in each text that has some; one pass over the table for all patterns."""
-    text = F.col(text_col)
-    counts = [F.struct(F.lit(i).alias("pattern"), F.when(F.rlike(text, F.lit(j)), F.regexp_count(text, F.lit(j))).otherwise(0).alias("n")) for i, j in ((i, to_java(r)) for i, r in patterns)]
-    return df.select(*keep, F.explode(F.array(*counts)).alias("c")).where("c.n > 0").select(*keep, "c.pattern", "c.n")
+def scan(df: DataFrame, patterns: list[tuple[str, str]], text_col: str = "text", *keep: str, trusted: bool = False) -> DataFrame:
+    """``(*keep, pattern, n)``: matches of each (id, regex) in each text that has some; one pass over the table for all patterns. Patterns that are not ``trusted`` end the query if they take too long over a text."""
+
+    @F.arrow_udf("array<struct<pattern:string,n:int>>")
+    def count(texts: pa.Array) -> pa.Array:
+        finds = [(i, compiled(regex, trusted)) for i, regex in patterns]
+        rows = [[] if t is None else [{"pattern": i, "n": n} for i, find in finds if (n := sum(1 for _ in find(t)))] for t in texts.to_pylist()]
+        return pa.array(rows, pa.list_(pa.struct([("pattern", pa.string()), ("n", pa.int32())])))
+
+    found = df.select(*keep, count.asNondeterministic()(F.col(text_col).cast("string")).alias("found"))
+    return found.select(*keep, F.explode("found").alias("c")).select(*keep, "c.pattern", "c.n")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.detectors import Detector, Registry, default_registry
 from ..functions.regex import check
-from .detect import redact
+from .detect import rewrite_texts
 
 MODES = ("replace", "mask", "remove", "tokenize", "hash", "encrypt")
 
@@ -69,18 +69,23 @@ def rule_applies(rule: Rule, user_id: Column, user_role: Column) -> Column:
 
 
 def apply_rules(df: DataFrame, rules: list[Rule], text_col: str = "text", user_id: Column | None = None, user_role: Column | None = None, registry: Registry | None = None, effective: bool = False) -> DataFrame:
-    """``redact`` with the rules beside it: they change nothing unless ``effective``, where the patterns of rules that apply to a row are replaced too, higher priority first among equals."""
+    """``rewrite_texts`` with the rules beside it: they change nothing unless ``effective``, where the patterns of rules that apply to a row are replaced too, higher priority first among equals."""
     registry = registry or default_registry()
     if not effective:
-        return redact(df, text_col, registry)
+        return rewrite_texts(df, text_col, registry)
     role = user_role if user_role is not None else F.lit(None).cast("string")
     user = user_id if user_id is not None else F.lit("")
-    out = redact(df, text_col, registry)
-    for rule in sorted(rules, key=lambda r: (-r.priority, r.name)):
+    rules = sorted(rules, key=lambda r: (-r.priority, r.name))
+    own = F.struct(*[rule_applies(rule, user, role).alias(f"r{k}") for k, rule in enumerate(rules)]) if rules else F.lit(True)
+    names = df.columns
+    out = rewrite_texts(df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), own.alias("holds"), F.col(f"`{text_col}`").alias("text")), "text", registry)
+    for r, rule in enumerate(rules):
         for k, p in enumerate(rule.patterns):
             check(p)
             one = Registry((Detector(f"{rule.name}_{k}", p, rule.priority, f"[{rule.name.upper()}_REDACTED]"),), registry.max_text_length)
-            step = redact(out.select("*").withColumn("_before", F.col("redacted_text")).drop("redacted_text", "redactions", "n_spans").withColumnRenamed("_before", "_rule_text"), "_rule_text", one, mode=rule.mode, effective_modes=True)
-            keep = [c for c in out.columns if c not in ("redacted_text", "redactions", "n_spans")]
-            out = step.withColumn("redacted_text", F.when(rule_applies(rule, user, role), F.col("redacted_text")).otherwise(F.col("_rule_text"))).select(*keep, "redacted_text", "redactions", "n_spans")
-    return out
+            step = rewrite_texts(out.select("row", "holds", F.struct("redactions", "n_spans").alias("before"), F.col("redacted_text").alias("text")), "text", one, mode=rule.mode, effective_modes=True)
+            holds = F.col(f"holds.r{r}")
+            out = step.select("row", "holds", F.when(holds, F.col("redacted_text")).otherwise(F.col("text")).alias("redacted_text"), F.when(holds, F.concat("before.redactions", "redactions")).otherwise(F.col("before.redactions")).alias("redactions"))
+            out = out.withColumn("n_spans", F.size("redactions"))
+    names = [c for c in names if c not in ("redacted_text", "redactions", "n_spans")]
+    return out.select(*[F.col("row").getField(c).alias(c) for c in names], "redacted_text", "redactions", "n_spans")

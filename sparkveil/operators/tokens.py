@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.detectors import Registry, default_registry
+
 
 def issue(redacted: DataFrame, text_col: str, created: Column, ttl_seconds: int = 86_400, salt: str | None = None) -> DataFrame:
     """``(token, original_text, redaction_type, created, expires)`` for the rows with spans. The type is that of the first reported span, the last in the text.
@@ -28,3 +30,15 @@ def cleanup(store: DataFrame, now: Column) -> DataFrame:
 
 def stats(store: DataFrame) -> DataFrame:
     return store.groupBy("redaction_type").agg(F.count("*").alias("n"))
+
+
+def summary(store: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """A row with ``total_tokens``, ``active_patterns`` and ``tokens_by_type``, a map."""
+    each = store.groupBy("redaction_type").agg(F.count("*").alias("n"))
+    total = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_tokens"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("redaction_type", "n")))).alias("tokens_by_type"))
+    return total.select("total_tokens", F.lit(len((registry or default_registry()).detectors)).alias("active_patterns"), "tokens_by_type")
+
+
+def rotate_keys(store: DataFrame) -> DataFrame:
+    """The store as it is: tokens are random names of rows, not ciphertext, so a change of keys leaves nothing to be done."""
+    return store

@@ -133,51 +133,51 @@ def resolve_overlaps(spark, sf_dir):
     return c.select("o_orderkey", "s.type", "s.start", (F.col("s.start") - F.col("s.nlen")).alias("end"))
 
 
-def redact_mixed(spark, sf_dir):
-    return detect.redact(_made(spark, sf_dir, mixed_text()), "t").select("o_orderkey", "redacted_text", "n_spans")
+def rewrite_mixed(spark, sf_dir):
+    return detect.rewrite_texts(_made(spark, sf_dir, mixed_text()), "t").select("o_orderkey", "redacted_text", "n_spans")
 
 
-def redact_documents(spark, sf_dir):
-    return detect.redact(_docs(spark, sf_dir)).select("doc_id", "redacted_text", "n_spans")
+def rewrite_documents(spark, sf_dir):
+    return detect.rewrite_texts(_docs(spark, sf_dir)).select("doc_id", "redacted_text", "n_spans")
 
 
 def context_window(spark, sf_dir):
-    r = detect.redact(_made(spark, sf_dir, "concat('Some words before ', " + _VALUES["email"] + ", ' and some words after')"), "t")
+    r = detect.rewrite_texts(_made(spark, sf_dir, "concat('Some words before ', " + _VALUES["email"] + ", ' and some words after')"), "t")
     return detect.explode_spans(r, "o_orderkey").select("o_orderkey", "type", "start", "end", "context")
 
 
 def stats_by_type(spark, sf_dir):
-    return detect.stats_by_type(detect.redact(_docs(spark, sf_dir)))
+    return detect.stats_by_type(detect.rewrite_texts(_docs(spark, sf_dir)))
 
 
 def stats_by_type_lang(spark, sf_dir):
-    return detect.stats_by_type(detect.redact(_docs(spark, sf_dir)), "lang")
+    return detect.stats_by_type(detect.rewrite_texts(_docs(spark, sf_dir)), "lang")
 
 
 def stats_by_source(spark, sf_dir):
-    return detect.redact(_docs(spark, sf_dir)).groupBy("source").agg(F.sum("n_spans").cast("bigint").alias("n_spans"), F.count("*").alias("n_docs"))
+    return detect.rewrite_texts(_docs(spark, sf_dir)).groupBy("source").agg(F.sum("n_spans").cast("bigint").alias("n_spans"), F.count("*").alias("n_docs"))
 
 
 def top_docs(spark, sf_dir):
-    return detect.redact(_docs(spark, sf_dir)).select("doc_id", "n_spans").orderBy(F.desc("n_spans"), "doc_id").limit(20)
+    return detect.rewrite_texts(_docs(spark, sf_dir)).select("doc_id", "n_spans").orderBy(F.desc("n_spans"), "doc_id").limit(20)
 
 
-def redact_conversations(spark, sf_dir):
-    return detect.redact(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "redacted_text", "n_spans")
+def rewrite_conversations(spark, sf_dir):
+    return detect.rewrite_texts(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "redacted_text", "n_spans")
 
 
 def custom_registered(spark, sf_dir):
     registry = default_registry().register("order_id", r"\bORD-\d{6}\b")
-    return detect.redact(_made(spark, sf_dir, f"concat('Order ORD-', {_p(_K + ' % 1000000', 6)}, ' is due')"), "t", registry).select("o_orderkey", "redacted_text")
+    return detect.rewrite_texts(_made(spark, sf_dir, f"concat('Order ORD-', {_p(_K + ' % 1000000', 6)}, ' is due')"), "t", registry).select("o_orderkey", "redacted_text")
 
 
 def custom_request(spark, sf_dir):
-    r = detect.redact(_made(spark, sf_dir, f"concat('Ticket T', {_p(_K + ' % 10000', 4)})"), "t", custom=(detect.CustomPattern("ticket", r"T\d{4}", confidence=0.5),))
+    r = detect.rewrite_texts(_made(spark, sf_dir, f"concat('Ticket T', {_p(_K + ' % 10000', 4)})"), "t", custom=(detect.CustomPattern("ticket", r"T\d{4}", confidence=0.5),))
     return detect.explode_spans(r, "o_orderkey", "redacted_text").select("o_orderkey", "redacted_text", "type", "start", "replacement", "confidence")
 
 
 def mode_mask(spark, sf_dir):
-    return detect.redact(_made(spark, sf_dir, "concat('Mail ', " + _VALUES["email"] + ")"), "t", mode="mask", effective_modes=True).select("o_orderkey", "redacted_text")
+    return detect.rewrite_texts(_made(spark, sf_dir, "concat('Mail ', " + _VALUES["email"] + ")"), "t", mode="mask", effective_modes=True).select("o_orderkey", "redacted_text")
 
 
 def _strategy(strategy, kind: str, text: str):
@@ -258,7 +258,7 @@ count(*) FILTER (confidence >= 0.5 AND confidence < 0.7) AS low, count(*) FILTER
 
 def _scan(name: str):
     def query(spark, sf_dir):
-        return library.scan(_docs(spark, sf_dir), [(i, r) for i, _, _, _, r in LIBRARIES[name]], "text", "doc_id")
+        return library.scan(_docs(spark, sf_dir), [(i, r) for i, _, _, _, r in LIBRARIES[name]], "text", "doc_id", trusted=True)
 
     parts = " UNION ALL ".join(f"SELECT doc_id, '{i}' AS pattern, CAST(len(regexp_extract_all(text, '{_quote(r)}', 0)) AS INTEGER) AS n FROM documents" for i, _, _, _, r in LIBRARIES[name])
     return query, f"SELECT * FROM ({parts}) WHERE n > 0"
@@ -266,7 +266,7 @@ def _scan(name: str):
 
 def _token_store(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderdate", F.expr("concat('Mail ', " + _VALUES["email"] + ", ' or call ', " + _VALUES["phone"] + ")").alias("t"))
-    return tokens.issue(detect.redact(o, "t"), "t", F.col("o_orderdate"), 86_400, salt="s")
+    return tokens.issue(detect.rewrite_texts(o, "t"), "t", F.col("o_orderdate"), 86_400, salt="s")
 
 
 _STORE = f"SELECT substr(sha256(t || 's'), 1, 32) AS token, t AS original_text, 'phone' AS redaction_type, o_orderdate AS created, o_orderdate + INTERVAL 1 DAY AS expires FROM (SELECT o_orderdate, concat('Mail ', {_VALUES['email']}, ' or call ', {_VALUES['phone']}) AS t FROM orders)"
@@ -311,9 +311,9 @@ def _pairs() -> dict[str, tuple]:
     out |= {
         "spans_all": (spans_all, flat.format(", s.original AS original", "c", _duck_candidates(mixed, "o_orderkey"))),
         "resolve_overlaps": (resolve_overlaps, flat.format("", "r", _duck_resolved(mixed, "o_orderkey"))),
-        "redact_mixed": (redact_mixed, _duck_rewritten(mixed, "o_orderkey")),
-        "redact_documents": (redact_documents, _duck_rewritten(_DOCS, "doc_id")),
-        "redact_conversations": (redact_conversations, _duck_rewritten("SELECT conv_id, turn, text AS t FROM conversations", "conv_id, turn")),
+        "rewrite_mixed": (rewrite_mixed, _duck_rewritten(mixed, "o_orderkey")),
+        "rewrite_documents": (rewrite_documents, _duck_rewritten(_DOCS, "doc_id")),
+        "rewrite_conversations": (rewrite_conversations, _duck_rewritten("SELECT conv_id, turn, text AS t FROM conversations", "conv_id, turn")),
         "context_window": (context_window, f"SELECT o_orderkey, 'email' AS type, 18 AS start, CAST(18 + length(m) AS INTEGER) AS \"end\", 'Some words before ' || m || ' and some words after'[1:20] AS context FROM (SELECT o_orderkey, {mail} AS m FROM orders)"),
         "stats_by_type": (stats_by_type, f"SELECT s.type AS type, count(*) AS n FROM (SELECT unnest(r) AS s FROM ({docs})) GROUP BY 1"),
         "stats_by_type_lang": (stats_by_type_lang, f"SELECT lang, s.type AS type, count(*) AS n FROM (SELECT lang, unnest(r) AS s FROM ({docs})) GROUP BY 1, 2"),

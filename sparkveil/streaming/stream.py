@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.detectors import Registry
-from ..operators.detect import redact
+from ..operators.detect import rewrite_texts
 from ..operators.tokens import issue
 
 
 def redacted_stream(spark: SparkSession, path: str, schema, text_col: str = "text", registry: Registry | None = None, files_per_batch: int = 16) -> DataFrame:
     """Parquet files as they arrive, redacted; rows are independent, so there is no state."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
-    return redact(stream, text_col, registry)
+    return rewrite_texts(stream, text_col, registry)
 
 
 def token_sink(stream: DataFrame, path: str, checkpoint: str, text_col: str = "text", ttl_seconds: int = 86_400, salt: str | None = None):

@@ -32,7 +32,7 @@ CASES = [
 
 
 def test_cases(spark):
-    rows = detect.redact(spark.createDataFrame(CASES, "text string, want string")).collect()
+    rows = detect.rewrite_texts(spark.createDataFrame(CASES, "text string, want string")).collect()
     assert [r.redacted_text for r in rows] == [r.want for r in rows]
 
 
@@ -40,12 +40,12 @@ def test_fixture_table(spark):
     found = [re.match(r"\| \d+ \| (\w+) \| `(.*)` \| (\d) \| `(.*)` \|$", line.strip()) for line in open(f"{HERE}/FIXTURES.md")]
     rows = [(m[1], m[2], int(m[3]), m[4]) for m in found if m]
     assert len(rows) == 58
-    for r in detect.redact(spark.createDataFrame(rows, "type string, text string, n int, want string")).collect():
+    for r in detect.rewrite_texts(spark.createDataFrame(rows, "type string, text string, n int, want string")).collect():
         assert r.redacted_text == r.want and sum(x.type == r.type for x in r.redactions) == r.n
 
 
 def test_offsets_are_bytes_and_descend(spark):
-    r = detect.redact(spark.createDataFrame([("é a@b.com ü 123-45-6789",)], "text string")).first()
+    r = detect.rewrite_texts(spark.createDataFrame([("é a@b.com ü 123-45-6789",)], "text string")).first()
     assert [(x.type, x.start, x.end) for x in r.redactions] == [("ssn", 14, 25), ("email", 3, 10)]
 
 
@@ -73,13 +73,13 @@ def test_resolution_against_all_pairs(spark, groups):
 
 def test_modes_and_limits(spark):
     df = spark.createDataFrame([("to a@b.com",)], "text string")
-    assert detect.redact(df, mode="mask").first().redacted_text == "to [EMAIL_REDACTED]"
-    assert detect.redact(df, mode="mask", effective_modes=True).first().redacted_text == "to *******"
-    assert detect.redact(df, mode="remove", effective_modes=True).first().redacted_text == "to "
-    r = detect.redact(df, registry=default_registry(max_text_length=5), strict=False).first()
+    assert detect.rewrite_texts(df, mode="mask").first().redacted_text == "to [EMAIL_REDACTED]"
+    assert detect.rewrite_texts(df, mode="mask", effective_modes=True).first().redacted_text == "to *******"
+    assert detect.rewrite_texts(df, mode="remove", effective_modes=True).first().redacted_text == "to "
+    r = detect.rewrite_texts(df, registry=default_registry(max_text_length=5), strict=False).first()
     assert r.redacted_text is None and r.too_long
     with pytest.raises(Exception, match="maximum length"):
-        detect.redact(df, registry=default_registry(max_text_length=5)).collect()
+        detect.rewrite_texts(df, registry=default_registry(max_text_length=5)).collect()
 
 
 def test_registering():

@@ -10,7 +10,7 @@ from sparkveil.sources import texts
 
 
 def test_tokens(spark):
-    df = detect.redact(spark.createDataFrame([("Email: test@example.com, Phone: 555-123-4567",), ("nothing",)], "text string"))
+    df = detect.rewrite_texts(spark.createDataFrame([("Email: test@example.com, Phone: 555-123-4567",), ("nothing",)], "text string"))
     now = F.lit(datetime.datetime(2024, 1, 1))
     store = tokens.issue(df, "text", now, salt="s")
     row = store.collect()
@@ -64,11 +64,11 @@ def test_library(spark):
 
 
 def test_sources(spark, tmp_path):
-    red = detect.redact(texts.from_lines(spark, ["a@b.com", "x"]))
+    red = detect.rewrite_texts(texts.from_lines(spark, ["a@b.com", "x"]))
     texts.write(red, str(tmp_path / "j"), "json")
     assert '"redaction_count":1' in spark.read.text(str(tmp_path / "j")).first().value
     texts.write(red, str(tmp_path / "y"), "yaml")
-    assert texts.load_config(environ={"REDACT_CLI_BATCH_SIZE": "7"})["cli.batch_size"] == 7
+    assert texts.load_config(environ={"SPARKVEIL_CLI_BATCH_SIZE": "7"})["cli.batch_size"] == 7
     with pytest.raises(ValueError):
         texts.write(red, str(tmp_path / "z"), "xml")
 

@@ -20,7 +20,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.line_dedup(table(spark, sf_dir, "documents"), radius=None).select("doc_id", "n_removed", "text")
+    return linededup.line_dedup(table(spark, sf_dir, "documents"), radius=linededup.WIDE, few=linededup.SPARE).select("doc_id", "n_removed", "text")
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

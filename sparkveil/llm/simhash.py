@@ -11,20 +11,19 @@ tiles. A tile returns a spanning forest of its links, never all of its pairs.
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, materialise
+from .common import KEY_BITS, carried, connected_components, materialise, row_key, run_hashes, words_of
 
 TILE = 2048
 BLOCK = 512
-FEW = 50_000
-SIGNS = 16
 
 
 def shingle_hashes(text: str | None, words: int) -> list[int]:
@@ -41,9 +40,9 @@ def shingle_hashes(text: str | None, words: int) -> list[int]:
     return [h(whole[s:e], 42) for s, e in zip(starts[: len(parts) - words + 1].tolist(), (ends[words - 1 :] - 1).tolist())]
 
 
-def simhash(hashes: list[int]) -> int:
+def simhash(hashes: list[int] | np.ndarray) -> int:
     """Bit i is set if it is set in over half of the hashes; no hashes: zero."""
-    if not hashes:
+    if not len(hashes):
         return 0
     return int(majority(np.array(hashes, "<u8"), np.zeros(1, np.int64))[0])
 
@@ -90,7 +89,7 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
 
 
 def within(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, lanes): for each row with a partner, the bit set of members at most ``radius`` bits away, itself excluded. radius: 0 to 14."""
+    """(rows, lanes): for each row with a partner, the bit set of members at most ``radius`` bits away, itself excluded. radius: 0 to 62."""
     m, planes = len(fps), bit_planes(fps)
     width = planes.shape[1]
     full = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -203,86 +202,87 @@ def masks(n: int, radius: int, spare: int | None = None) -> list[int]:
     return [sum(((1 << bits) - 1) << at for at, bits in table) for table in plan_blocks(n, radius, spare=spare)]
 
 
-def split_groups(rows: DataFrame, group: str, by: str) -> DataFrame:
-    """``rows`` with groups beyond ``TILE`` rows cut into chunks by a hash of ``by``, and a group ``g`` of its own for each pair of chunks. Others keep theirs."""
-    hot = materialise(rows.groupBy(group).count().where(F.col("count") > TILE).select(group, F.ceil(F.col("count") / TILE).cast("int").alias("_parts")))
-    some = hot.count()
-    if not some:
-        return rows.withColumnRenamed(group, "g")
-    rows = rows.join(F.broadcast(hot) if some <= FEW else hot, group, "left").withColumn("_i", F.pmod(F.xxhash64(by, F.lit(7)), F.col("_parts")).cast("int"))
-    each = F.when(F.col("_parts").isNull(), F.array(F.col(group))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda j: F.xxhash64(group, F.least("_i", j), F.greatest("_i", j)))
-    )
-    return rows.withColumn("_g", F.explode(each)).drop(group, "_parts", "_i").withColumnRenamed("_g", "g")
+def split_groups(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` of ``(g, ...)`` with ``tile``: groups ``g`` beyond ``TILE`` rows are cut into chunks by a hash of ``by``, with a tile for each pair of chunks. ``rows`` should be a written table."""
+    hot = materialise(rows.groupBy("g").count().where(F.col("count") > TILE).select("g", F.ceil(F.col("count") / TILE).cast("int").alias("parts")))
+    if not hot.count():
+        return rows.withColumn("tile", F.col("g"))
+    rows = rows.join(hot, "g", "left").withColumn("i", F.pmod(F.xxhash64(by, F.lit(7)), F.col("parts")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.xxhash64("g", F.least("i", j), F.greatest("i", j)))
+    return rows.withColumn("tile", F.explode(F.when(F.col("parts").isNull(), F.array("g")).otherwise(pairs))).drop("parts", "i")
 
 
 def tiles(fps: DataFrame, radius: int, n: int, spare: int | None = None) -> DataFrame:
-    """``(fp, ..., t, g)``: each row once for each tile ``g`` of each table ``t`` that it takes part in; other columns ride along."""
+    """``(fp, g, tile)``: each row once for each tile of each table that it takes part in."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks(n, radius, spare)]
-    keys = [F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("bigint"))).alias("k")) for t, m in enumerate(signed)]
-    keyed = fps.withColumn("_tk", F.explode(F.array(*keys))).select(*fps.columns, "_tk.t", "_tk.k")
-    return split_groups(keyed, "k", "fp")
+    keys = [F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m).cast("bigint"))) for t, m in enumerate(signed)]
+    return split_groups(fps.select("fp", F.explode(F.array(*keys)).alias("g")), "fp")
 
 
 def in_groups(rows: DataFrame, *columns: str) -> DataFrame:
-    """``(g, *columns)``, a group in one partition, its rows next to each other."""
-    return rows.select("g", *columns).repartition("g").sortWithinPartitions("g")
+    """``(tile, *columns)``, a tile in one partition, its rows next to each other."""
+    return rows.select("tile", *columns).repartition("tile").sortWithinPartitions("tile")
 
 
-def shared(lines: DataFrame) -> DataFrame:
-    """``(g, key)``: the rows of each sign or piece that more than one row has. ``signs`` and ``pieces`` are 32-bit numbers; signs count by place, 0 is none."""
+def shared_places(rows: DataFrame, column: str) -> DataFrame:
+    """``(g, key)``, once each: the rows of each of the 64-bit numbers in the binary ``column`` that more than one ``key`` has. Written."""
 
-    def run(batches):
+    def spread(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, out = batch.column(0).to_numpy(), []
-            for name, first in (("signs", 0), ("pieces", 2 * SIGNS)):
-                parts = [np.frombuffer(b, "<u4") for b in batch.column(name).to_pylist()]
+            parts = [np.frombuffer(b, "<i8") for b in batch.column(1).to_pylist()]
+            if parts:
                 sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-                v = np.concatenate(parts).astype(np.int64)
-                at = np.arange(len(v)) - np.repeat(np.cumsum(sizes) - sizes, sizes) if not first else np.full(len(v), first)
-                some = v != 0
-                out.append((at[some] << 32 | v[some], np.repeat(keys, sizes)[some]))
-            g, k = (np.concatenate(x) for x in zip(*out))
-            yield pa.record_batch([pa.array(g), pa.array(k)], names=["g", "key"])
+                yield pa.record_batch([pa.array(np.concatenate(parts)), pa.array(np.repeat(batch.column(0).to_numpy(), sizes))], names=["g", "key"])
 
-    rows = lines.select("key", "signs", "pieces").mapInArrow(run, "g bigint, key bigint")
-    by = Window.partitionBy("g").orderBy("key")
-    near = rows.withColumn("_a", F.lag("key").over(by)).withColumn("_b", F.lead("key").over(by))
-    return near.where("_a is not null or _b is not null").select("g", "key")
+    def common(batches):
+        g = key = np.zeros(0, np.int64)
+        before = False  # has the row held the number of the row before it?
+        for batch in batches:
+            g, key = np.concatenate((g, batch.column(0).to_numpy())), np.concatenate((key, batch.column(1).to_numpy()))
+            new = np.concatenate(([True], (g[1:] != g[:-1]) | (key[1:] != key[:-1])))[: len(g)]
+            g, key = g[new], key[new]
+            if not len(g):
+                continue
+            same = g[1:] == g[:-1]
+            left = np.concatenate(([before], same))
+            some = (left | np.concatenate((same, [False])))[:-1]
+            yield pa.record_batch([pa.array(g[:-1][some]), pa.array(key[:-1][some])], names=["g", "key"])
+            g, key, before = g[-1:], key[-1:], bool(left[-1])
+        if len(g) and before:
+            yield pa.record_batch([pa.array(g), pa.array(key)], names=["g", "key"])
 
+    each = rows.select("key", column).mapInArrow(spread, "g bigint, key bigint")
+    return materialise(each.repartition("g").sortWithinPartitions("g", "key").mapInArrow(common, "g bigint, key bigint"))
 
-def first_places(places: DataFrame, signs: DataFrame) -> DataFrame:
-    """``(g, key)`` of ``shared`` without those of which a pair needs none: it meets by the first sign that it shares, the later ``SIGNS`` counting only if two are shared, or by a piece."""
 
-    def flush(cols):
-        place, keys = cols[1], cols[2]
-        table = np.zeros((len(keys), 2 * SIGNS), np.uint32)
-        for i, x in enumerate(cols[3]):
-            table[i, : len(x) // 4] = np.frombuffer(x, "<u4")
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(cols[0])) + 1, [len(keys)])).tolist()
-        keep = np.zeros(len(keys), bool)
-        for lo, hi in zip(cut, cut[1:]):
-            sign = int(place[lo]) >> 32
-            if sign >= 2 * SIGNS:
-                keep[lo:hi] = True
-                continue
-            for i in range(lo, hi - 1):
-                same = (table[i + 1 : hi] == table[i]) & (table[i] != 0)
-                if sign < SIGNS:
-                    ok = ~same[:, :sign].any(axis=1)
-                else:
-                    ok = ~same[:, :sign].any(axis=1) & (same[:, SIGNS:].sum(axis=1) > 1)
-                if ok.any():
-                    keep[i] = True
-                    keep[i + 1 : hi] |= ok
-        if keep.any():
-            yield pa.record_batch([pa.array(place[keep]), pa.array(keys[keep])], names=["g", "key"])
-
-    tiled = split_groups(places.withColumn("place", F.col("g")).withColumnRenamed("g", "k"), "k", "key").join(signs, "key")
-    found = in_groups(tiled, "place", "key", "signs").mapInArrow(lambda it: grouped(it, flush, 64), "g bigint, key bigint")
-    return materialise(found.distinct())
+def linked_tile(cols, verify):
+    """Links (a, b) of keys, a spanning forest of each tile, from columns tile, key, data, blocks, g.
+
+    ``verify(cols, lo, hi)`` gives for the tile of these rows two functions: the later rows that row i is to be compared with, and whether two rows are alike.
+    Two rows that share several blocks are compared at the least of them alone.
+    """
+    keys, a, b = cols[1], [], []
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(cols[0])) + 1, [len(keys)])).tolist()
+    for lo, hi in zip(cut, cut[1:]):
+        if hi - lo < 2:
+            continue
+        others, alike = verify(cols, lo, hi)
+        label, blocks, g = np.arange(hi - lo), {}, int(cols[4][lo])
+
+        def of(i):
+            if i not in blocks:
+                blocks[i] = set(np.frombuffer(cols[3][lo + i], "<i8").tolist())
+            return blocks[i]
+
+        for i in range(hi - lo - 1):
+            found = others(i)
+            for j in found[label[found] != label[i]].tolist():
+                if label[i] != label[j] and min(of(i) & of(j)) == g and alike(i, j):
+                    label[label == label[j]] = label[i]
+                    a.append(int(keys[lo + i]))
+                    b.append(int(keys[lo + j]))
+    if a:
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def near_links(fps: DataFrame, radius: int) -> DataFrame:
@@ -311,10 +311,10 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col:
     groups = marked.groupBy("fp").agg(F.min("id").alias("low"))
     groups = materialise(groups)
     linked = connected_components(near_links(groups, radius))
-    linked = linked.select(F.col("node").alias("fp"), "component").join(groups, "fp")
-    lows = linked.groupBy("component").agg(F.min("low").alias("least"))
-    linked = linked.join(lows, "component").select("fp", "least")
-    names = groups.join(linked, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
+    linked = materialise(linked.select(F.col("node").alias("fp"), "component").join(groups, "fp"))
+    lows = materialise(linked.groupBy("component").agg(F.min("low").alias("least")))
+    linked = materialise(linked.join(lows, "component").select("fp", "least"))
+    names = materialise(groups.join(linked, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id")))
     return marked.join(names, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -333,76 +333,104 @@ def resemblance(a: bytes, b: bytes) -> float:
 
 
 BANDS, ROWS = 12, 3
-_MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
+#: Texts of a similarity of 0.8 have SimHashes 10 bits apart on average, with a deviation of 3.
+NEAR = 22
+#: Tiles of fewer rows are compared without bit planes.
+PLANES = 128
+_ORDERS = np.random.default_rng(7).integers(1, 1 << 63, (BANDS * ROWS, 2), dtype=np.uint64) | np.uint64(1)
+
+
+def shingles_of(texts: list[str | None], words: int) -> list[np.ndarray]:
+    """The distinct shingles of each text as sorted 64-bit hashes: words are lower-cased in ASCII and parted by ASCII white space; fewer words make one shingle, no word none."""
+    out, raw = [], [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
+    for at in range(0, len(raw), 64):
+        _, _, _, h, first = words_of(raw[at : at + 64])
+        lo, hi = first[:-1], first[1:]
+        n = np.maximum(hi - lo - words + 1, np.minimum(hi - lo, 1))
+        cut = np.cumsum(n)
+        start = np.arange(n.sum()) - np.repeat(cut - n - lo, n)
+        runs = run_hashes(h, start, np.minimum(start + words, np.repeat(hi, n)))
+        out += [np.unique(r) for r in np.split(runs, cut[:-1])]
+    return out
 
 
-def band_signs(shingles: bytes) -> bytes:
-    """``BANDS`` signs of a shingle set, each of the least members in ``ROWS`` random orders."""
-    h = np.frombuffer(shingles, "<u4").astype(np.uint64)
+def band_blocks(shingles: np.ndarray) -> bytes:
+    """``BANDS`` 64-bit blocks of a shingle set, each of the least members in ``ROWS`` random orders."""
     least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for at in range(0, len(h), 4096):
-        least = np.minimum(least, (h[None, at : at + 4096] * _MULTIPLIERS[:, :1] + _MULTIPLIERS[:, 1:] >> np.uint64(20)).min(axis=1))
-    bands = least.reshape(BANDS, ROWS)
-    return np.array([max(1, xxhash.xxh32_intdigest(b.tobytes())) for b in bands], "<u4").tobytes()
+    for at in range(0, len(shingles), 4096):
+        x = shingles[None, at : at + 4096] * _ORDERS[:, :1]
+        least = np.minimum(least, (x + _ORDERS[:, 1:]).min(axis=1))
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, ROWS))], "<u8").tobytes()
 
 
-def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` less near duplicates: of each group of linked texts the rows with the smallest id stay, with all their columns.
+def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` less near duplicates: of each group of linked texts the row with the smallest id stays, with all its columns.
 
     Texts are linked if their sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``; equal sets always are. Others are
-    compared if they share one of ``BANDS`` signs of ``ROWS`` least members: at a similarity of 0.8 about one pair in 5,000 does not. Null and blank texts are equal. A null id counts as the largest. Rows
-    that share an id stay or go together. An empty table gives an empty one.
-    """
-    ident = F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))
-    plain = docs.select(ident.alias("id"), F.col(text_col).cast("string").alias("text"))
+    compared if they share one of ``BANDS`` blocks, each of ``ROWS`` least members (at a similarity of 0.8 about one pair in 5,000 does not): then the bit-sliced comparison
+    finds those whose SimHashes, of the distinct shingles, are at most ``radius`` bits apart, and their sets decide. Null and blank texts are equal.
 
-    def sets_of(batch):
-        sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
-        return sets, pa.array(np.array([xxhash.xxh64_intdigest(s, 1) for s in sets], np.uint64).view(np.int64))
+    A null id counts as the largest. A row goes for its own sake alone: rows that share an id, or have a null one, but not their text are documents of
+    their own, in the order of a hash of the text; rows that share both are one document, stated more than once, and stay or go together. An empty table gives an empty one. Other columns, whatever their names, are carried along.
+    """
+    plain = docs.select(*row_key(id_col, text_col), F.col(f"`{text_col}`").cast("string").alias("text"))
 
     def signed(batches):
         for batch in batches:
-            sets, keys = sets_of(batch)
-            yield pa.record_batch([batch.column(0), keys, pa.array([band_signs(s) for s in sets], pa.binary())], names=["id", "key", "signs"])
+            sets = shingles_of(batch.column(2).to_pylist(), words)
+            keys = [[xxhash.xxh64_intdigest(s, seed) for s in sets] for seed in (1, 2)]
+            keys = [pa.array(np.array(k, np.uint64).view(np.int64)) for k in keys]
+            yield pa.record_batch([*batch.columns[:2], *keys, pa.array([band_blocks(s) for s in sets], pa.binary())], names=["id", "th", "key", "check", "blocks"])
 
     def whole(batches):
         for batch in batches:
-            sets, keys = sets_of(batch)
-            yield pa.record_batch([keys, pa.array(sets, pa.binary())], names=["key", "shingles"])
-
-    marked = materialise(plain.mapInArrow(signed, "id bigint, key bigint, signs binary"))
-    forms = materialise(marked.groupBy("key").agg(F.min("id").alias("id"), F.first("signs").alias("signs")).withColumn("pieces", F.lit(b"")))
-    places = first_places(materialise(shared(forms)), forms.select("key", "signs"))
-    some = forms.join(places.select("key").distinct(), "key", "left_semi").select("key", "id")
-    sets = plain.join(some.select("id").distinct(), "id").select("id", "text").mapInArrow(whole, "key bigint, shingles binary")
-    sets = materialise(sets.join(some.select("key"), "key", "left_semi").dropDuplicates(["key"]))
-
-    def flush(cols):
-        keys, data = cols[1], cols[2]
-        tree = list(range(len(keys)))
-
-        def top(i):
-            while tree[i] != i:
-                tree[i] = tree[tree[i]]
-                i = tree[i]
-            return i
-
-        a, b = [], []
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(cols[0])) + 1, [len(keys)])).tolist()
-        for lo, hi in zip(cut, cut[1:]):
-            for i in range(lo, hi):
-                for j in range(i + 1, hi):
-                    n, m = sorted((len(data[i]), len(data[j])))
-                    if n >= similarity * m and top(i) != top(j) and resemblance(data[i], data[j]) >= similarity:
-                        tree[top(j)] = top(i)
-                        a.append(int(keys[i]))
-                        b.append(int(keys[j]))
-        if a:
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    dealt = in_groups(split_groups(places.withColumnRenamed("g", "k"), "k", "key").join(sets, "key"), "key", "shingles")
-    groups = connected_components(dealt.mapInArrow(lambda it: grouped(it, flush, 64), "a bigint, b bigint"))
-    named = marked.select("id", "key").join(groups.withColumnRenamed("node", "key"), "key", "left").select("id", F.coalesce("component", "key").alias("c"))
-    firsts = named.groupBy("c").agg(F.min("id").alias("first"))
-    gone = named.join(firsts, "c").where("id <> first").select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, ident == F.col("_gone"), "left_anti")
+            sets = shingles_of(batch.column(1).to_pylist(), words)
+            data = [np.uint64(simhash(s)).tobytes() + np.unique(s.astype("<u4")).tobytes() for s in sets]
+            yield pa.record_batch([batch.column(0), pa.array(data, pa.binary())], names=["key", "data"])
+
+    marked = materialise(plain.mapInArrow(signed, "id bigint, th int, key bigint, check bigint, blocks binary"))
+    order = F.struct((F.col("th") >= 1 << KEY_BITS).alias("last"), "id", "th")
+    forms = materialise(marked.groupBy("key", "check").agg(F.min(order).alias("first"), F.count("*").alias("n")))
+    shared = shared_places(marked.select("key", "blocks"), "blocks")
+    keys = materialise(shared.select("key").distinct())
+    some = forms.join(keys, "key", "left_semi").dropDuplicates(["key"]).select("key", "first.id", "first.th")
+    sets = plain.join(materialise(some), ["id", "th"]).dropDuplicates(["key"]).select("key", "text").mapInArrow(whole, "key bigint, data binary")
+    blocks = marked.join(keys, "key", "left_semi").groupBy("key").agg(F.min("blocks").alias("blocks"))
+    sets = materialise(sets.join(blocks, "key"))
+
+    def verify(cols, lo, hi):
+        data = cols[2][lo:hi]
+        fps = np.array([np.frombuffer(x, "<u8", 1)[0] for x in data], np.uint64)
+        sets = [np.frombuffer(x, "<u4", -1, 8) for x in data]
+
+        def alike(i, j):
+            n, m = sorted((len(sets[i]), len(sets[j])))
+            if n < similarity * m:
+                return False
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            return both >= similarity * (n + m - both)
+
+        if hi - lo < PLANES:
+            return lambda i: i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius), alike
+        rows, bits = within(fps, radius)
+        at = {r: k for k, r in enumerate(rows.tolist())}
+        none = np.zeros(0, np.int64)
+
+        def others(i):
+            found = lanes(bits[at[i]]) if i in at else none
+            return found[found > i]
+
+        return others, alike
+
+    members = split_groups(shared, "key").join(sets, "key")
+    links = in_groups(members, "key", "data", "blocks", "g").mapInArrow(lambda it: grouped(it, partial(linked_tile, verify=verify), 64), "a bigint, b bigint")
+    groups = connected_components(links).withColumnRenamed("node", "key")
+    named = materialise(groups.join(forms, "key"))
+    firsts = materialise(named.groupBy("component").agg(F.min("first").alias("keep")))
+    named = materialise(named.join(firsts, "component").select("key", "check", "keep"))
+    exact = forms.where("n > 1").join(named, ["key", "check"], "left_anti").select("key", "check", F.col("first").alias("keep"))
+    judged = materialise(named.unionByName(exact))
+    gone = marked.select("id", "th", "key", "check").join(judged, ["key", "check"]).where((F.col("id") != F.col("keep.id")) | (F.col("th") != F.col("keep.th")))
+    gone = materialise(gone.select("id", "th").distinct())
+    rows = docs.select(*row_key(id_col, text_col), carried(docs)).join(gone, ["id", "th"], "left_anti")
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -4,13 +4,14 @@ Every run of ``window`` words holds one whole non-overlapping reference block of
 ``block = (window + 1) // 2`` words, wherever the run starts. So the reference blocks of all
 documents are the index, and every rolling run of ``block`` words is a probe; a window can be
 repeated only if it covers a probe that hits. Hits are extended: the windows around them
-(and only those) are resolved exactly, by their 64-bit hash within a hash-addressed partition,
+(and only those) are resolved by a 128-bit hash of their words' hashes within a hash-addressed partition
 to the smallest document that holds them. Joined windows are the maximal exact repeats.
 
 Nothing is sent for single words or windows as rows. Documents are dealt in batches of bounded
 size; a batch sends to each of the partitions one sorted blob of its distinct hashes, and gets
-back one bit for each, in that order. A hot passage is therefore one entry for each batch, and
-batches, partitions and replies all grow in proportion to the input.
+back one byte for each, in that order. A hot passage is therefore one entry for each batch. There are
+as many partitions as ``PART`` batches each make, so that what a task holds stays the same however
+large the input is. Blobs get shorter as partitions and batches grow in number; there are never more of them than words.
 """
 
 from __future__ import annotations
@@ -22,49 +23,46 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, mixed, shuffle_partitions, word_hashes
+from .common import materialise, mixed, shuffle_partitions, words_of
 
 BATCH_BYTES = 4 << 20
+#: So many batches make a partition of the hashes, at least.
+PART = 8
 _LAST = np.iinfo(np.int64).max
-_SEED = 0xD1B54A32D192ED03
+_SEED, _SECOND = 0xD1B54A32D192ED03, 0xAEF17502108EF2D9
 
 
-def run_hashes(words: np.ndarray, length: int) -> np.ndarray:
+def hashes_of_runs(words: np.ndarray, length: int, seed: int = _SEED) -> np.ndarray:
     """The hash of every run of ``length`` words, by start."""
     n = len(words) - length + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for i in range(length):
-        out *= np.uint64(_SEED)
+        out *= np.uint64(seed)
         out += words[i : i + n]
     return mixed(out + np.uint64(length))
 
 
 class Batch:
-    """Word hashes of the documents of a batch, end to end, with windows that never cross a document's end."""
+    """Words of the documents of a batch and their hashes, end to end, with windows that never cross a document's end."""
 
     def __init__(self, texts: list[bytes]):
-        self.texts, self.spans, hashes = texts, [], []
-        for t in texts:
-            starts, ends, h = word_hashes(t)
-            self.spans.append((starts, ends))
-            hashes.append(h)
-        self.sizes = np.array([len(h) for h in hashes], np.int64)
-        self.first = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.texts = texts
+        self.data, self.starts, self.ends, self.words, self.first = words_of(texts)
+        self.sizes = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         self.at = np.arange(len(self.words)) - self.first[self.doc]
 
     def runs(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """(start, hash) of the runs inside one document."""
-        h = run_hashes(self.words, length)
+        h = hashes_of_runs(self.words, length)
         start = np.flatnonzero(self.at[: len(h)] + length <= self.sizes[self.doc[: len(h)]])
         return start, h[start]
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) % np.uint64(parts)).astype(np.int64)
+    return ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
 def probes(batch: Batch, block: int, parts: int):
@@ -161,10 +159,10 @@ def _hit_reply(key, table):
 def _low_reply(key, table):
     """For each entry: does a document outside the batch with a smaller id hold the window?"""
     hashes = [np.frombuffer(b, "<u8") for b in table.column("blob").to_pylist()]
-    sizes = np.cumsum([0] + [len(e) for e in hashes])
-    every, ids = np.concatenate(hashes), np.concatenate([np.frombuffer(b, "<i8") for b in table.column("ids").to_pylist()])
-    order = np.argsort(every, kind="stable")
-    cut = np.flatnonzero(np.concatenate(([True], every[order][1:] != every[order][:-1])))
+    sizes = np.cumsum([0] + [len(e) // 2 for e in hashes])
+    every, ids = np.concatenate(hashes).reshape(-1, 2), np.concatenate([np.frombuffer(b, "<i8") for b in table.column("ids").to_pylist()])
+    order = np.lexsort((every[:, 1], every[:, 0]))
+    cut = firsts(every[order])
     low = np.minimum.reduceat(ids[order], cut)
     back = np.zeros(len(every), np.uint8)
     back[order] = ids[order] > np.repeat(low, np.diff(np.concatenate((cut, [len(every)]))))
@@ -172,23 +170,30 @@ def _low_reply(key, table):
     return pa.table([table.column("batch"), pa.array([part] * table.num_rows, pa.int32()), pa.array([back[a:b].tobytes() for a, b in zip(sizes[:-1], sizes[1:])], pa.binary())], schema=_REPLY)
 
 
+def firsts(h: np.ndarray) -> np.ndarray:
+    """Where a row differs from the row before it."""
+    return np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]).any(axis=1)))) if len(h) else np.zeros(0, np.int64)
+
+
 def hit_windows(batch: Batch, hit_bits: np.ndarray, window: int, block: int, parts: int):
-    """(start, hash) of the windows that cover a probe that hits."""
+    """(start, two hashes) of the windows that cover a probe that hits."""
     _, _, start, counts = probes(batch, block, parts)
     hits = np.zeros(len(batch.words) + 1, np.int64)
     hits[start[np.repeat(hit_bits, counts)]] = 1
     before = np.concatenate(([0], np.cumsum(hits)))
     at, h = batch.runs(window)
     some = before[at + window - block + 1] > before[at]
-    return at[some], h[some]
+    at, h = at[some], h[some]
+    second = hashes_of_runs(batch.words, window, _SECOND)[at] if len(at) else h
+    return at, np.stack((h, second), axis=1)
 
 
 def lows(batch: Batch, ids: np.ndarray, at: np.ndarray, h: np.ndarray, parts: int):
     """Distinct window hashes by part with the smallest id of the batch, and how to get back to the windows."""
-    key, doc = part_of(h, parts), ids[batch.doc[at]]
-    order = np.lexsort((doc, h, key))
+    key, doc = part_of(h[:, 0], parts), ids[batch.doc[at]]
+    order = np.lexsort((doc, h[:, 1], h[:, 0], key))
     key, h, doc, at = key[order], h[order], doc[order], at[order]
-    cut = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+    cut = firsts(h)
     return key[cut], h[cut], doc[cut], doc, at, np.diff(np.concatenate((cut, [len(h)])))
 
 
@@ -204,8 +209,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     """
     spark = docs.sparkSession
     block = (window + 1) // 2
-    parts = shuffle_partitions(spark)
     stored = materialise(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_store, _STORED_SQL))
+    parts = max(shuffle_partitions(spark), -(-stored.count() // PART))
 
     def send(batches):
         for t in batches:
@@ -240,10 +245,11 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
         np.add.at(gone, at + window, -1)
         gone = np.cumsum(gone)[:-1] > 0
         kept, removed = [], []
-        for k, (t, (starts, ends)) in enumerate(zip(batch.texts, batch.spans)):
-            bad = gone[batch.first[k] : batch.first[k + 1]]
-            removed.append(int(bad.sum()))
-            kept.append(b" ".join([t[s:e] for s, e in zip(starts[~bad].tolist(), ends[~bad].tolist())]).decode("utf-8", "replace"))
+        for t, lo, hi in zip(batch.texts, batch.first.tolist(), batch.first[1:].tolist()):
+            left = lo + np.flatnonzero(~gone[lo:hi])
+            removed.append(hi - lo - len(left))
+            words = t.split() if len(left) == hi - lo else [batch.data[s:e] for s, e in zip(batch.starts[left].tolist(), batch.ends[left].tolist())]
+            kept.append(b" ".join(words).decode("utf-8", "replace"))
         return pa.table([pa.array(ids, pa.int64(), mask=nulls), pa.array(batch.sizes), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=out)
 
     done = stored.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(cut, "id bigint, n_words bigint, n_removed bigint, kept string")

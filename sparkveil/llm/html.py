@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left, bisect_right
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .pagegen import labelled_pages
 
@@ -22,7 +23,8 @@ PAGES = 600
 EPOCHS = 12
 SEED = 1
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)|<[!?/][^>]*+(?:>|\Z)|[^<]++|<", re.S)
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|style|aria-hidden)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 _RAW = {"script", "style", "template", "noscript", "svg", "math", "iframe", "object", "xmp", "noembed", "noframes"}
@@ -30,6 +32,9 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
 _ONCE = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _FENCE = {"ul", "ol", "dl", "table", "article", "section", "main", "div", "body", "aside", "form", "nav", "header", "footer", "blockquote", "select"}
+_LIGHT = _INLINE | {"p", "li"}
+_INNER = {"article", "main", "aside", "nav", "header", "footer", "form", "section", "button", "label", "select"}
+_ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -46,37 +51,153 @@ def _signs(tag: str, attrs: str) -> tuple:
     return tuple(out)
 
 
-def leaf_blocks(html: str) -> list[tuple[tuple, str, int]]:
-    """(open elements' features, text, characters inside links) of every leaf block with text, in page order."""
-    blocks, stack, text, linked, links, pos, n, in_head = [], [("html",)], [], 0, 0, 0, len(html), False
-    low = None
+class TagEnds:
+    """Where tags close: the next ``>`` outside of quotes. Every stop is looked at once, however many tags are left open."""
+
+    def __init__(self, html: str):
+        self.html, self.known = html, {}
+        self.stops: list[int] | None = None
+
+    def find(self, at: int) -> int:
+        """The place of the closing sign for a tag whose attributes begin at ``at``, or -1."""
+        if self.stops is None:
+            self.stops = [m.start() for m in _STOP.finditer(self.html)]
+            self.quotes: dict[str, list[int]] = {q: [i for i in self.stops if self.html[i] == q] for q in "\"'"}
+        passed, end = [], -1
+        k = bisect_left(self.stops, at)
+        while k < len(self.stops):
+            if k in self.known:
+                end = self.known[k]
+                break
+            passed.append(k)
+            i = self.stops[k]
+            if self.html[i] == ">":
+                end = i
+                break
+            same = self.quotes[self.html[i]]
+            q = bisect_right(same, i)
+            if q == len(same):
+                break
+            k = bisect_left(self.stops, same[q] + 1)
+        self.known.update(dict.fromkeys(passed, end))
+        return end
+
+
+class Open:
+    """The open elements, with what they say as features that are kept up to date element by element, so that a deep page costs no more than a flat one."""
+
+    def __init__(self, weight=None):
+        self.weight, self.total = weight, 0.0
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.at: dict[str, list[int]] = {}
+        self.fences: list[int] = []
+        self.plain: list[str] = []  # block elements' tags
+        self.inner: list[str] = []
+        self.count: dict[str, int] = {}
+
+    def push(self, tag: str, signs: tuple) -> None:
+        block = tag not in _INLINE
+        own = tuple({*("w=" + w for w in signs[1:]), *(("a=" + tag,) if block and tag not in ("html", "body") else ())})
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag in _FENCE:
+            self.fences.append(len(self.stack))
+        if block:
+            self.plain.append(tag)
+        if tag in _INNER:
+            self.inner.append(tag)
+        self.stack.append((tag, own))
+        for f in own:
+            n = self.count.get(f, 0)
+            self.count[f] = n + 1
+            if not n and self.weight:
+                self.total += self.weight(f, 0.0)
+
+    def cut(self, size: int) -> None:
+        """Close elements until ``size`` are left."""
+        while len(self.stack) > size:
+            tag, own = self.stack.pop()
+            self.at[tag].pop()
+            if tag in _FENCE:
+                self.fences.pop()
+            if tag not in _INLINE:
+                self.plain.pop()
+            if tag in _INNER:
+                self.inner.pop()
+            for f in own:
+                n = self.count[f] - 1
+                if n:
+                    self.count[f] = n
+                else:
+                    del self.count[f]
+                    if self.weight:
+                        self.total -= self.weight(f, 0.0)
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost element of these tags, or -1."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def fence(self) -> int:
+        return self.fences[-1] if self.fences else -1
+
+    def places(self) -> list[str]:
+        """Features of the nearest elements, in their order."""
+        block = self.plain[-1] if self.plain else "html"
+        out = ["tag=" + block]
+        if not self.inner:
+            return out + ["in=-"]
+        out.append("in=" + self.inner[-1])
+        outer = self.inner[-2] if len(self.inner) > 1 else ""
+        if outer:
+            out.append("in2=" + self.inner[-1] + ">" + outer)
+        if self.inner[-1] == "header":
+            out.append("h=" + block + (">" + outer if outer else ""))
+        return out
+
+    def features(self) -> tuple[str, ...]:
+        return tuple(sorted({*self.count, *self.places()}))
+
+    def score(self) -> float:
+        return self.total + sum(self.weight(f, 0.0) for f in self.places())
+
+
+def leaf_blocks(html: str, weight=None) -> list[tuple]:
+    """(what the open elements say, text, characters inside links) of every leaf block with text, in page order: their features, or with ``weight``, a function of feature and default, the sum of their weights."""
+    blocks, now, text, linked, pos, n, in_head = [], Open(weight), [], 0, 0, len(html), False
+    ends, low = TagEnds(html), None
 
     def flush():
         nonlocal linked
         if text:
             words = " ".join(unescape("".join(text)).split())
             if words:
-                blocks.append((tuple(stack), words, linked))
+                blocks.append((now.score() if weight else now.features(), words, linked))
             text.clear()
             linked = 0
 
     while pos < n:
         m = _TOKEN.match(html, pos)
-        pos = m.end()
-        name = m.group(2)
+        name, t = m.group(2), m.group()
+        end = -1
+        if name is not None:
+            end = ends.find(m.end())
+            if end < 0:  # a tag that never closes is text
+                name, t = None, "<"
         if name is None:
-            t = m.group()
+            pos += len(t)
             if t[0] != "<" or len(t) == 1:
                 if not in_head:
                     text.append(t)
-                    if links:
+                    if now.at.get("a"):
                         linked += len(t)
             continue
+        attrs, pos = html[m.end() : end], end + 1
         tag, closing = name.lower(), m.group(1)
         if tag in _RAW or tag == "textarea" or tag == "title":
-            if not closing and not m.group(3).endswith("/"):
+            if not closing and not attrs.endswith("/"):
                 if low is None:
                     low = html.lower()
+                    if len(low) != n:  # signs that are longer in lower case
+                        low = html.translate(_ASCII_LOWER)
                 end = low.find("</" + tag, pos)
                 pos = n if end < 0 else end
             if tag in ("script", "style", "title"):
@@ -93,56 +214,22 @@ def leaf_blocks(html: str) -> list[tuple[tuple, str, int]]:
             continue
         if tag not in _INLINE:
             flush()
-            links = 0 if tag != "a" else links
         if tag in _VOID:
             continue
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _FENCE and tag in _INLINE | {"p", "li"}:
-                    break
-            links = sum(s[0] == "a" for s in stack)
+            i = now.last(tag)
+            if i >= 0 and not (tag in _LIGHT and now.fence() > i):
+                now.cut(i)
         else:
             if tag not in _INLINE:
-                ends = _ONCE.get(tag, ())
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in ends or stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] in _FENCE:
-                        break
-            if len(stack) < 200:
-                stack.append(_signs(tag, m.group(3)))
-            links += tag == "a"
+                i = now.last("p", *_ONCE.get(tag, ()))
+                if i > now.fence():
+                    now.cut(i)
+            now.push(tag, _signs(tag, attrs))
     flush()
     return blocks
 
 
-@functools.lru_cache(maxsize=20_000)
-def stack_features(stack: tuple) -> tuple[str, ...]:
-    """What the open elements say, nearest and farther ones apart, and their order where it tells."""
-    out = set()
-    block = next((s for s in reversed(stack) if s[0] not in _INLINE), ("html",))
-    out.add("tag=" + block[0])
-    for k, s in enumerate(stack):
-        for w in s[1:]:
-            out.add("w=" + w)
-        if s[0] not in _INLINE and s[0] not in ("html", "body"):
-            out.add("a=" + s[0])
-    inner = [s for s in stack if s[0] in ("article", "main", "aside", "nav", "header", "footer", "form", "section", "button", "label", "select")]
-    if inner:
-        out.add("in=" + inner[-1][0])
-        if len(inner) > 1:
-            out.add("in2=" + inner[-2][0] + ">" + inner[-1][0])
-        if inner[-1][0] == "header":
-            out.add("h=" + block[0] + (">" + inner[-2][0] if len(inner) > 1 else ""))
-    else:
-        out.add("in=-")
-    return tuple(sorted(out))
-
-
 def text_features(text: str, linked: int) -> tuple[str, ...]:
     words = text.count(" ") + 1
     return ("b", "n=%d" % min(7, words.bit_length()), "l=%d" % min(4, 4 * linked // max(1, len(text))), "e=" + (text[-1] if text[-1] in ".!?:" else "-"), "c=%d" % min(3, text.count(",")), "©" if "©" in text or "copyright" in text[:60].lower() else "-")
@@ -153,17 +240,6 @@ class Chain:
 
     def __init__(self, weights: dict[str, float], moves: list[list[float]], ends: list[float]):
         self.weights, self.moves, self.ends = weights, moves, ends
-        self.by_stack: dict[tuple, float] = {}
-
-    def score(self, stack: tuple, text: str, linked: int) -> float:
-        """Log odds of article before the chain has its say."""
-        get, s = self.weights.get, self.by_stack.get(stack)
-        if s is None:
-            s = sum(get(f, 0.0) for f in stack_features(stack))
-            if len(self.by_stack) > 50_000:
-                self.by_stack.clear()
-            self.by_stack[stack] = s
-        return s + sum(get(f, 0.0) for f in text_features(text, linked))
 
     def decode(self, scores: list[float]) -> list[int]:
         """Viterbi."""
@@ -187,8 +263,9 @@ class Chain:
         return out[::-1]
 
     def extract(self, html: str | None) -> str:
-        blocks = leaf_blocks(html or "")
-        labels = self.decode([self.score(*b) for b in blocks])
+        get = self.weights.get
+        blocks = leaf_blocks(html or "", get)
+        labels = self.decode([s + sum(get(f, 0.0) for f in text_features(text, linked)) for s, text, linked in blocks])
         return "\n\n".join(b[1] for b, y in zip(blocks, labels) if y)
 
 
@@ -198,13 +275,13 @@ def train(pages: list[tuple[str, list[tuple[int, str]]]], epochs: int = EPOCHS,
     data = []
     for html, truth in pages:
         queue, at, rows, labels = truth, 0, [], []
-        for stack, text, linked in leaf_blocks(html):
+        for own, text, linked in leaf_blocks(html):
             y = 0
             for k in range(at, len(queue)):
                 if queue[k][1] == text:
                     y, at = queue[k][0], k + 1
                     break
-            rows.append(np.array([names.setdefault(f, len(names)) for f in (*stack_features(stack), *text_features(text, linked))]))
+            rows.append(np.array([names.setdefault(f, len(names)) for f in (*own, *text_features(text, linked))]))
             labels.append(y)
         if rows:
             data.append((rows, np.array(labels)))
@@ -256,23 +333,16 @@ def extract_text(pages: DataFrame, chain: Chain | None = None, html_col: str = "
     an empty table gives an empty one. The trained weights, a few thousand numbers, go to the executors with the task.
     """
     model = chain or default_chain()
-    source = "_html_of_page"
-    pages = pages.withColumn(source, F.col(html_col).cast("string"))
-    if out_col in pages.columns:
-        pages = pages.drop(out_col)
-    schema = pages.schema
-    from pyspark.sql import types as T
-
-    keep = [i for i, f in enumerate(schema.fields) if f.name != source]
-    at = schema.fieldNames().index(source)
-    out_schema = T.StructType([schema.fields[i] for i in keep] + [T.StructField(out_col, T.StringType())])
-    names = [f.name for f in out_schema.fields]
+    keep = [c for c in pages.columns if c != out_col]
+    out_schema = T.StructType([pages.schema[c] for c in keep] + [T.StructField(out_col, T.StringType())])
+    names = out_schema.fieldNames()
     weights, moves, ends = model.weights, model.moves, model.ends
 
     def run(batches):
         chain = Chain(weights, moves, ends)
         for batch in batches:
-            text = pa.array([chain.extract(h.as_py()) for h in batch.column(at)], pa.string())
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], text], names=names)
+            text = pa.array([chain.extract(h.as_py()) for h in batch.column(0)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], text], names=names)
 
-    return pages.mapInArrow(run, out_schema)
+    own = pages.select(F.col(f"`{html_col}`").cast("string"), *[F.col(f"`{c}`") for c in keep])
+    return own.toDF(*[f"c{i}" for i in range(len(keep) + 1)]).mapInArrow(run, out_schema)  # columns are told apart by place

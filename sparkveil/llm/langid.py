@@ -24,6 +24,8 @@ SAMPLE_DOCS = 1500
 MIN_SHARE = 2e-5
 MAX_LANGUAGES = 1024
 _STEP = 1 << 16
+#: A sample is chosen in steps of one in so many.
+_SHARES = 1 << 40
 
 
 @functools.cache
@@ -63,6 +65,22 @@ def ngrams(code: np.ndarray, sizes=SIZES) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def parts_of(code: np.ndarray):
+    """The n-grams of a text by parts of ``_STEP`` signs; for each size, parts overlap by less than an n-gram."""
+    for at in range(0, len(code), _STEP):
+        yield np.concatenate([ngrams(code[max(0, at - k + 1) : at + _STEP], (k,)) for k in SIZES]) if at else ngrams(code[:_STEP])
+
+
+def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a text and how often it has them."""
+    h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for part in parts_of(code):
+        x, m = np.unique(part, return_counts=True)
+        h, where = np.unique(np.concatenate((h, x)), return_inverse=True)
+        n = np.bincount(where, weights=np.concatenate((n, m)), minlength=len(h)).astype(np.int64)
+    return h, n
+
+
 def positions(h: np.ndarray, k: int, rows_log2: int) -> np.ndarray:
     step = (h >> np.uint64(32)) | np.uint64(1)
     return ((h + np.uint64(k) * step) & np.uint64((1 << rows_log2) - 1)).astype(np.int64)
@@ -111,27 +129,24 @@ class Filters:
         code = letters_of(text) if text else np.zeros(0)
         if not len(code) or not self.languages:
             return "und", 0.0, 0.0
-        n = size = 0
-        seen = np.zeros(len(self.languages), np.int64)
-        while size < len(code):  # long texts by parts; for each size, parts overlap by less than an n-gram
-            h = np.concatenate([ngrams(code[max(0, size - k + 1) : size + _STEP], (k,)) for k in SIZES]) if size else ngrams(code[:_STEP])
+        n, seen = 0, np.zeros(len(self.languages), np.int64)
+        for h in parts_of(code):
             seen += self.counts(h)
             n += len(h)
-            size += _STEP
         true = np.clip((seen - self.false * n) / (1 - self.false), 0, None)
         best = max(range(len(true)), key=lambda i: (true[i], self.prior[i], -i))
         total = float(true.sum())
         return self.languages[best], float(true[best] / total) if total else 0.0, float(min(1.0, true[best] / n)) if n else 0.0
 
 
-def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS, rows_log2: int = ROWS_LOG2, min_share: float = MIN_SHARE, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id", max_chars: int = 200_000) -> Filters:
-    """Fit on a bounded sample of the labelled rows of ``docs``: about ``per_language`` documents of each language, chosen by a hash, of at most ``max_chars`` characters each.
+def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS, rows_log2: int = ROWS_LOG2, min_share: float = MIN_SHARE, text_col: str = "text", lang_col: str = "lang", order_col: str = "doc_id") -> Filters:
+    """Fit on a bounded sample of the labelled rows of ``docs``: about ``per_language`` whole documents of each language, however many there are, chosen by a hash of id and text.
 
     An n-gram belongs to a language if it makes up ``min_share`` of the language's sample and stands in two documents there
     (one, if the sample has under 20). Counting is done on the executors, which return each language's n-grams only: at most
     ``2**rows_log2 / 8``, the most frequent first. Null texts and languages are left out. Over ``MAX_LANGUAGES`` languages: ValueError.
     """
-    known = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(order_col).cast("string"), F.lit(6)).alias("o")).where("text is not null and lang is not null")
+    known = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(order_col).cast("string"), F.col(text_col).cast("string"), F.lit(6)).alias("o")).where("text is not null and lang is not null")
     counts = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -139,14 +154,14 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_DOCS, rows_log2: int = ROWS_
     filters = Filters(list(counts), list(counts.values()), rows_log2)
     if not counts:
         return filters
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(10_000, per_language * 10_000 // n + 1)))])
-    sample = known.where(F.pmod("o", F.lit(10_000)) < F.element_at(share, F.col("lang"))).select("lang", F.substring("text", 1, max_chars).alias("text"))
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(_SHARES, per_language * _SHARES // n + 1)))])
+    sample = known.where(F.pmod("o", F.lit(_SHARES)) < F.element_at(share, F.col("lang"))).select("lang", "text")
     most = (1 << rows_log2) // 8
 
     def count(batches):
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h, n = np.unique(ngrams(letters_of(text)), return_counts=True)
+                h, n = counted(letters_of(text))
                 if len(h):
                     order = np.argsort(h & np.uint64(31), kind="stable")
                     h, n = h[order], n[order]
@@ -182,7 +197,7 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataF
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(filters)
     names = ["lang_pred", "lang_score", "lang_cover"]
-    docs = docs.drop(*names)
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
     schema = T.StructType(list(docs.schema.fields))
     at = [c.lower() for c in docs.columns].index(text_col.lower())
     for n, t in zip(names, ("string", "double", "double")):
@@ -193,9 +208,9 @@ def identify(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataF
         for batch in batches:
             got = [model.predict(t.as_py()) for t in batch.column(at)]
             new = [pa.array([g[0] for g in got], pa.string()), *(pa.array([g[i] for g in got], pa.float64()) for i in (1, 2))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).mapInArrow(run, schema)  # columns are told apart by place
 
 
 def fold(id_col: str = "doc_id"):

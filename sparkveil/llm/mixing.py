@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import carried
+
 #: The mean of one draw at most; a higher rate is the sum of as many draws as it takes.
 MAX_RATE = 1000.0
 SMALL = 4096
@@ -41,7 +43,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     its number of documents to the power ``temperature``. ``total`` is the size of the mix relative to the corpus. A null source
     is a source of its own, which only ``temperature`` can choose.
     """
-    n = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.count("*").alias("n"))
+    n = docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("source")).agg(F.count("*").alias("n"))
     if weights is None:
         n = n.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(temperature)))
     else:
@@ -56,24 +58,25 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     """All columns of ``docs`` for each repetition of each document, and ``mix_copy`` (from 0) and ``mix_key``; globally shuffled, ordered by ``mix_key`` in each partition.
 
     Rows that share an id draw the same count. A null id draws like an empty one. A document whose draw is 0 is not in the mix:
-    that is what a rate below 1 asks for. A rate over ``MAX_RATE`` is drawn in parts, by further hashes of the id. Columns named ``mix_*`` are replaced; an empty
+    that is what a rate below 1 asks for. A rate over ``MAX_RATE`` is drawn in parts, by further hashes of the id. Columns named ``mix_copy`` and ``mix_key`` are replaced, others are carried along; an empty
     table gives an empty one.
     """
-    docs = docs.drop("mix_copy", "mix_key", "mix_parts", "mix_times")
+    names = [c for c in docs.columns if c not in ("mix_copy", "mix_key")]
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE).cast("int"))
-    table = rates(docs, weights, temperature, total, source_col).withColumn("mix_parts", parts)
-    table = table.select(F.col("source").alias("mix_source"), "mix_parts", poisson_table(F.col("rate") / F.col("mix_parts")).alias("mix_cdf"))
-    source = F.col(source_col).cast("string")
+    table = rates(docs, weights, temperature, total, source_col).withColumn("parts", parts)
+    table = table.select("source", "parts", poisson_table(F.col("rate") / F.col("parts")).alias("cdf"))
+    source = F.col(f"`{source_col}`").cast("string")
     few = len(docs.select(source.alias("s")).distinct().limit(SMALL + 1).collect()) <= SMALL
-    joined = docs.join(F.broadcast(table) if few else table, source.eqNullSafe(F.col("mix_source")))
-    more = F.when(F.col("mix_parts") > 1, F.transform(F.sequence(F.lit(1), F.col("mix_parts") - 1), lambda i: uniform(seed + "-more", i, F.col(id_col)))).otherwise(F.array().cast("array<double>"))
-    draws = F.transform(F.concat(F.array(uniform(seed, F.col(id_col))), more), lambda u: F.aggregate("mix_cdf", F.lit(0), lambda acc, p: acc + (p <= u).cast("int")))
-    times = F.aggregate(draws, F.lit(0), lambda acc, n: acc + n)
-    joined = joined.withColumn("mix_times", times)
-    times = F.col("mix_times")
+    rows = docs.select(carried(docs, names), F.col(f"`{id_col}`").cast("string").alias("id"), source.alias("from"))
+    joined = rows.join(F.broadcast(table) if few else table, F.col("from").eqNullSafe(F.col("source")))
+    more = F.when(F.col("parts") > 1, F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: uniform(seed + "-more", i, F.col("id")))).otherwise(F.array().cast("array<double>"))
+    draws = F.transform(F.concat(F.array(uniform(seed, F.col("id"))), more), lambda u: F.aggregate("cdf", F.lit(0), lambda acc, p: acc + (p <= u).cast("int")))
+    times = F.col("times")
+    joined = joined.select("row", "id", F.aggregate(draws, F.lit(0), lambda acc, n: acc + n).alias("times"))
     copies = joined.withColumn("mix_copy", F.explode(F.when(times > 0, F.sequence(F.lit(0), times - 1))))
-    key = F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("mix_copy").cast("string")))
-    return copies.withColumn("mix_key", key).drop("mix_source", "mix_cdf", "mix_parts", "mix_times").repartition("mix_key").sortWithinPartitions("mix_key")
+    key = F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce("id", F.lit("")), F.col("mix_copy").cast("string")))
+    copies = copies.select(*[F.col("row").getField(c).alias(c) for c in names], "mix_copy", key.alias("mix_key"))
+    return copies.repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 def mix_sql(table: str = "documents", temperature: float = 0.5, total: float = 1.0, seed: str = "mix", columns: str = "doc_id, text, lang, source, n_chars", extra: str = ", mix_copy, mix_key") -> str:

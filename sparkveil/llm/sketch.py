@@ -65,36 +65,51 @@ def as_string(a: Column) -> Column:
 
 
 def merged_sketches(parts: DataFrame, key: str, column: str, k: int = K) -> DataFrame:
-    """``(key, column)``: the sketch of each key's parts together. Hashes are deduplicated before they are gathered, and in two steps, so a hot key is no single task's burden."""
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(column), F.lit(64)))
-    for keys in ([key, "_salt"], [key]):
-        salted = salted.groupBy(*keys).agg(F.aggregate(F.collect_set(column), F.array().cast("array<bigint>"), lambda acc, x: merge(acc, x, k)).alias(column))
-    return salted
+    """``(key, column)``: the sketch of each key's parts together.
+
+    Every hash is a row; only the ``k`` least of a key leave any task (a rank within the key is cut before the exchange), so a hot key burdens no task. A key
+    whose sketches are all null or empty has the empty one; null is a key like any other.
+    """
+    each = parts.select(F.col(f"`{key}`").alias("k"), F.explode_outer(F.col(f"`{column}`")).alias("h")).distinct()
+    least = each.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(F.col("h").asc_nulls_last()))).where(F.col("n") <= k)
+    return least.groupBy("k").agg(F.sort_array(F.collect_list("h")).alias("h")).select(F.col("k").alias(key), F.col("h").alias(column))
+
+
+#: Quantiles of the ids that bound the ranges; a power of two.
+QUANTILES = 4096
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 1000) -> DataFrame:
     """``(id, text, ghost, bucket)`` where a lead over (bucket, id, ghost) sees the next document by id, and after the last the first.
 
-    Documents fall into ranges of ids whose bounds follow the ids' quantiles; each range is one
+    Documents fall into ranges of ids whose bounds follow the ids' quantiles, ``QUANTILES`` at most; each range is one
     window group and carries a copy (ghost) of the first document of the next range, so no window
-    spans the table. Ranges number ``rows / max(most, sqrt(rows))``.
+    spans the table. Ranges number ``rows / max(most, sqrt(rows))``; beyond the quantiles they are even steps of the ids. Null ids,
+    which come first, fall into ranges of a hash of the text.
     """
-    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    cut = [i / 64 for i in range(65)]
-    n, marks = base.agg(F.count("*"), F.percentile_approx("id", cut, 10_000)).first()
-    marks = sorted(set(marks or [0]))
-    each = max(1, round(n / max(most, n**0.5) / 64)) if n > most else 1
-    if n <= most:
-        marks = marks[:1]
-    if len(marks) == 1:
-        bucket = F.lit(1).cast("bigint") * F.when(F.col("id").isNull(), -1).otherwise(0)
-    else:
-        bucket = F.when(F.col("id").isNull(), F.lit(-1)).when(F.col("id") < marks[0], F.lit(0))
-        for i, (a, b) in enumerate(zip(marks, marks[1:])):
-            here = F.lit(1 + i * each) + F.least(F.lit(each - 1), F.floor((F.col("id") - a) * float(each) / float(b - a)).cast("int"))
-            bucket = bucket.when(F.col("id") < b, here)
-        bucket = bucket.otherwise(F.lit(1 + (len(marks) - 1) * each)).cast("bigint")
-    base = base.withColumn("bucket", bucket)
+    base = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    cut = [i / QUANTILES for i in range(QUANTILES + 1)]
+    n, marks = base.agg(F.count("*"), F.percentile_approx("id", cut, 50_000)).first()
+    ranges = n / max(most, n**0.5)
+    step = max(1, round(QUANTILES / max(1, ranges)))  # quantiles a range
+    each = max(1, round(ranges / QUANTILES))  # ranges between two quantiles
+    marks = marks or [0]
+    marks = sorted({*marks[::step], marks[-1]}) if n > most else marks[:1]
+    bounds = F.split(F.lit(",".join(map(str, marks))), ",").cast("array<bigint>")
+    halves = F.array(*[F.lit(QUANTILES >> i) for i in range(QUANTILES.bit_length())])
+
+    def found(lo: Column, half: Column) -> Column:
+        there = (lo + half <= len(marks)) & (F.get(bounds, lo + half - 1) <= F.col("id"))
+        return F.when(there, lo + half).otherwise(lo)
+
+    base = base.withColumn("at", F.aggregate(halves, F.lit(0), found))  # how many bounds are not above the id
+    low, high = (F.get(bounds, F.col("at") + i).cast("double") for i in (-1, 0))
+    inside = F.least(F.lit(each - 1), F.floor((F.col("id") - low) * float(each) / (high - low)))
+    place = F.when(F.col("at") == 0, 0).when(F.col("at") == len(marks), 1 + (len(marks) - 1) * each).otherwise(1 + (F.col("at") - 1) * each + inside)
+    nulls = max(1, round(ranges))
+    by_text = F.floor((F.shiftright(F.xxhash64("text"), 11) + 2**52).cast("double") / 2.0**53 * nulls)  # in the hashes' signed order
+    bucket = F.when(F.col("id").isNull(), by_text.cast("bigint") - nulls).otherwise(place)
+    base = base.withColumn("bucket", bucket.cast("bigint"))
     first = base.groupBy("bucket").agg(F.min_by(F.struct("id", "text"), F.struct("id", F.xxhash64("text"))).alias("f"))
     names = base.select("bucket").distinct()
     by = Window.orderBy("bucket")

@@ -121,7 +121,7 @@ def pack(docs: DataFrame, length: int = 4096, vocabulary: str | None = None, end
     kind = docs.schema[id_col].dataType.simpleString()
     table = materialise(token_table(docs, vocabulary, end_id, id_col, text_col, cache))
     totals = table.groupBy("part").agg(F.sum("n").alias("total"))
-    ahead = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("ahead"))
+    ahead = materialise(totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("ahead")))  # a row a partition; written, its size is known
     size = length
 
     def run(batches):
@@ -151,4 +151,4 @@ def pack(docs: DataFrame, length: int = 4096, vocabulary: str | None = None, end
             yield pa.record_batch(out, names=names)
 
     schema = f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + ", ids binary" * with_ids
-    return table.join(F.broadcast(ahead), "part").select("id", "before", "ahead", "n", "ids").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return table.join(ahead, "part").select("id", "before", "ahead", "n", "ids").mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -7,6 +7,9 @@ beyond the bisector of the two pivots, so the vector is at most ``r`` from that
 then joins its home vectors with its home and guest vectors on its own; each linked ordered pair is
 found in exactly one cell. Cells beyond ``TILE`` rows are cut into tiles. Equal vectors are
 joined once, with their number.
+
+How much this prunes depends on the vectors: where unrelated ones are nearly as far from every pivot as from each other, as
+random ones of many dimensions are, a vector is a guest in most cells and the work is that of all pairs (README).
 """
 
 from __future__ import annotations
@@ -174,11 +177,12 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
     joined = materialise(joined)
     links = joined.where("other is null").groupBy("id").agg((F.sum("n")).alias("n"))
     groups = connected_components(joined.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    named = groups.join(alike.select(F.col("id").alias("node"), "low"), "node")
-    lows = named.groupBy("component").agg(F.min("low").alias("least"))
+    named = materialise(groups.join(alike.select(F.col("id").alias("node"), "low"), "node"))
+    lows = materialise(named.groupBy("component").agg(F.min("low").alias("least")))
     named = named.join(lows, "component").select(F.col("node").alias("id"), "least")
     known = alike.select("key", "id", "low", "copies").join(links, "id", "left").join(named, "id", "left")
     known = known.select("key", F.greatest(F.coalesce("n", "copies"), "copies").alias("n"), F.coalesce("least", "low").alias("component"))
+    known = materialise(known)
     out = marked.join(known, "key", "left")
     return out.select(
         F.col("id").alias(id_col),

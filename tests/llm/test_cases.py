@@ -374,3 +374,67 @@ def test_hash_of_edited_text(spark):
     rows = [(2, "日本語ab"), (1, "xyz")]
     got = {x.doc_id: x.edited_sha256 for x in sketch.edited_fingerprints(spark.createDataFrame(rows, IDS)).collect()}
     assert got == {1: hashlib.sha256("xy日".encode()).hexdigest(), 2: hashlib.sha256("日本語xy".encode()).hexdigest()}
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """Every stage against the rows that plain Python makes of what the stage before it kept; null ids and a column that clashes among them."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    r = random.Random(31)
+    made = lambda n: " ".join("".join(r.choice("ka lo mi ten rus".split()) for _ in range(r.randint(1, 3))) for _ in range(n))
+    texts = ["\n".join(made(r.randint(12, 30)) for _ in range(3)) for _ in range(40)]
+    shared = made(20)
+    texts += [texts[3], texts[4] + " lo", shared + "\n" + made(25), made(22) + "\n" + shared, shared, "12 34 !", None, ""]
+    texts += [texts[5].replace("\n", " ") + " mi", texts[5].replace("\n", " ")]
+    rows = [(i if i != 44 else None, t, "en", ["a", "b", None][i % 3] if i % 7 else "c", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("row", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    docs, stages = spark.read.parquet(str(tmp_path / "documents.parquet")), dict(corpus_pipeline.STAGES)
+
+    def step(name, docs):
+        out = stages[name](spark, docs, str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name)), [tuple(x) for x in out.collect()]
+
+    docs, got = step("language", docs)
+    kept = [x for x in rows if x[1] and any(c.isalpha() for c in x[1])]
+    assert Counter(got) == Counter(kept)
+    docs, got = step("lines", docs)
+    last = 1 << 62
+    left = lines_by_hand([(last if x[0] is None else x[0], x[1]) for x in kept], 0.8)
+    kept = [(i, t, *x[2:4], len(t)) for x in kept for i, t in [(x[0], left[last if x[0] is None else x[0]])] if t.strip()]
+    assert Counter(got) == Counter(kept)
+    docs, got = step("near", docs)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (x[1].lower().split() for x in kept)]
+    low = list(range(len(kept)))
+    for i, j in itertools.combinations(range(len(kept)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            old, new = low[j], low[i]
+            low = [new if x == old else x for x in low]
+    first = {}
+    for x, g in zip(kept, low):
+        first[g] = min(first.get(g, x), x, key=lambda y: last if y[0] is None else y[0])
+    kept = list(first.values())
+    assert Counter(got) == Counter(kept) and len(kept) < len(low)
+    docs, got = step("mix", docs)
+    n = Counter(x[3] for x in kept)
+    weight = sum(v**0.5 for v in n.values())
+    want = Counter()
+    for x in kept:
+        rate = n[x[3]] ** 0.5 / weight * len(kept) / n[x[3]]
+        u = (int(hashlib.md5(f"mix|{'' if x[0] is None else x[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        times, p, total = 0, np.exp(-rate), np.exp(-rate)
+        while total <= u:
+            times += 1
+            p *= rate / times
+            total += p
+        want[x] += times
+    assert Counter(got) == +want
+    _, got = step("pack", docs)
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    sizes = Counter()
+    for x, k in want.items():
+        sizes[(x[0], len(t.encode(x[1], add_special_tokens=False).ids) + 1)] += k
+    assert Counter((x[0], x[4]) for x in got if x[1] == 0) == +sizes
+    assert sum(x[2] for x in got) == sum(size * k for (_, size), k in sizes.items()) and max(x[6] + x[2] for x in got) <= 4096

@@ -1,27 +1,31 @@
-"""Embedding near-dedup: an exact metric range join of unit vectors.
-
-On unit vectors a cosine of at least ``c`` is a distance of at most ``r = sqrt(2 - 2c)``. Every
-vector has a home cell, that of its nearest pivot, and is copied as a guest into each other
-cell that may hold a partner: by the triangle inequality a partner whose home is there lies
-beyond the bisector of the two pivots, so the vector is at most ``r`` from that bisector. A cell
-then joins its home vectors with its home and guest vectors on its own; each linked ordered pair is
-found in exactly one cell. Cells beyond ``TILE`` rows are cut into tiles. Equal vectors are
-joined once, with their number.
-
-How much this prunes depends on the vectors: where unrelated ones are nearly as far from every pivot as from each other, as
-random ones of many dimensions are, a vector is a guest in most cells and the work is that of all pairs (README).
+"""Embedding near-dedup: an exact join of unit vectors, chunk by chunk.
+
+Every vector has a home cell, that of its nearest pivot. The vectors are dealt by cell into ranges and packed into chunks of at most
+``TILE``, one row each. Each two chunks meet once, by Spark's cartesian product, which reads the chunks again where they are
+needed: a vector is shuffled twice and written twice however many there are, and no cell or group is gathered anywhere.
+
+On unit vectors a cosine of at least ``c`` is an angle of at most ``acos(c)``. By the triangle inequality a vector has no partner in a chunk whose middle is
+further from it than that angle and the chunk's radius; such vectors are left out of the comparison. Equal vectors are joined once, with their number.
+
+How much this prunes depends on the vectors: where unrelated ones are nearly as far from every chunk's middle as from each other, as
+random ones of many dimensions are, the work is that of all pairs (README).
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, least_nodes, materialise
 
+#: Vectors in a row of the written chunks.
 TILE = 8192
 CELL = 8192
+#: So many partial counts and links are held in a task before they are put together.
+HELD = 400_000
 MAX_PIVOTS = 1024
 SAMPLE = 4096
 _SLACK = 1e-6
@@ -33,11 +37,6 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def unpacked(column) -> list[np.ndarray]:
-    """Binary little-endian doubles as rows."""
-    return [np.frombuffer(b, "<f8") for b in column.to_pylist()]
-
-
 def choose_pivots(sample: list[np.ndarray], count: int) -> np.ndarray:
     """Farthest-first from the sample, padded with zeros to one length."""
     width = max(map(len, sample))
@@ -54,68 +53,68 @@ def choose_pivots(sample: list[np.ndarray], count: int) -> np.ndarray:
     return x[picked]
 
 
-def cells_of(x: np.ndarray, pivots: np.ndarray, r: float):
-    """(row, cell, home?) of every vector: its home and the cells where it is a guest."""
-    dots = x @ pivots[:, : x.shape[1]].T
-    home = dots.argmax(axis=1)
-    best = dots[np.arange(len(x)), home]
-    gap = np.sqrt(np.maximum(0, 2 - 2 * (pivots @ pivots.T)))[home]
-    near = (best[:, None] - dots) <= (r + _SLACK) * gap  # (d(x,p)^2 - d(x,home)^2) / (2 d(home,p)) <= r
-    near[np.arange(len(x)), home] = True
-    row, cell = np.nonzero(near)
-    return row, cell, cell == home[row]
-
-
-def join_tile(key, table: pa.Table, cosine: float):
-    """Partial link counts of the tile's members, and a spanning forest of the links between home and member rows."""
-    cols = {c: table.column(c) for c in table.column_names}
-    role, ids, copies = np.array(cols["home"]).astype(bool), np.array(cols["id"]), np.array(cols["copies"])
-    vectors = unpacked(cols["vector"])
-    lengths = np.array([len(v) for v in vectors])
-    out_id, out_n, link_a, link_b = [], [], [], []
-    for size in np.unique(lengths):
-        h, m = np.flatnonzero((lengths == size) & role), np.flatnonzero((lengths == size) & ~role)
-        if not len(h) or not len(m):
-            continue
-        y = np.stack([vectors[i] for i in h])
-        y32 = y.astype(np.float32)
-        tree = np.arange(len(h))
-
-        def top(i, tree=tree):
-            while tree[i] != i:
-                tree[i] = tree[tree[i]]
-                i = tree[i]
-            return i
-
-        for at in range(0, len(m), 512):
-            rows = m[at : at + 512]
-            x = np.stack([vectors[i] for i in rows])
-            near = (x.astype(np.float32) @ y32.T) >= cosine - 1e-4
-            a, b = np.nonzero(near)
-            for lo in range(0, len(a), 1 << 18):
-                p, q = a[lo : lo + (1 << 18)], b[lo : lo + (1 << 18)]
-                ok = np.einsum("ij,ij->i", x[p], y[q]) >= cosine
-                near[p[~ok], q[~ok]] = False
-            n = near @ copies[h]
-            some = np.flatnonzero(n)
-            out_id.append(ids[rows[some]])
-            out_n.append(n[some])
-            for k in some.tolist():
-                linked = np.flatnonzero(near[k])
-                roots = np.unique(tree[linked])
-                roots = sorted({top(int(i)) for i in roots})
-                for i in roots[1:]:
-                    tree[i] = roots[0]
-                if ids[rows[k]] != ids[h[roots[0]]]:
-                    link_a.append(ids[rows[k]])
-                    link_b.append(ids[h[roots[0]]])
-                for i in roots[1:]:
-                    link_a.append(ids[h[roots[0]]])
-                    link_b.append(ids[h[i]])
-    n_ids = np.concatenate(out_id) if out_id else np.zeros(0, np.int64)
-    n_all = np.concatenate(out_n) if out_n else np.zeros(0, np.int64)
-    zero = np.zeros(len(link_a), np.int64)
-    return pa.table([pa.array(np.concatenate((n_ids, np.array(link_a, np.int64)))), pa.array(np.concatenate((n_all, zero))), pa.array([None] * len(n_ids) + [int(b) for b in link_b], pa.int64())], names=["id", "n", "other"])
+def packed(batches, kind: str, chunk: int):
+    """Runs of at most ``chunk`` vectors of one length as one row each, from ``(size, id, copies, vector)`` sorted by size."""
+
+    def row(held):
+        ids, copies = (np.concatenate([h[c] for h in held]) for c in (1, 2))
+        return pa.record_batch([pa.array([int(ids[0])], pa.int64()), pa.array([held[0][0]], pa.int32()), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), copies.tobytes(), b"".join([v for h in held for v in h[3]])))], names=["c", "size", "ids", "copies", "vectors"])
+
+    held, n = [], 0
+    for batch in batches:
+        sizes, ids, copies = (batch.column(i).to_numpy() for i in range(3))
+        vectors = batch.column(3).to_pylist()
+        cut = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]
+        for lo, hi in zip(cut, cut[1:]):
+            while lo < hi:
+                if held and (held[0][0] != sizes[lo] or n == chunk):
+                    yield row(held)
+                    held, n = [], 0
+                end = min(hi, lo + chunk - n)
+                held.append((int(sizes[lo]), ids[lo:end].astype("<i8"), copies[lo:end].astype("<i8"), vectors[lo:end]))
+                n += end - lo
+                lo = end
+    if held:
+        yield row(held)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
+    """The rows of ``x`` that can have a partner among ``y`` by the triangle inequality of angles."""
+    middle = y.sum(axis=0)
+    if not middle.any():
+        return np.arange(len(x))
+    middle = unit(middle[None, :])[0]
+    far = np.arccos(np.clip((y @ middle).min(), -1, 1)) + np.arccos(np.clip(cosine, -1, 1)) + _SLACK
+    return np.arange(len(x)) if far >= np.pi else np.flatnonzero(x @ middle >= np.cos(far) - _SLACK)
+
+
+def join_chunks(x: np.ndarray, y: np.ndarray, x_copies: np.ndarray, y_copies: np.ndarray, cosine: float, same: bool):
+    """(links of each row of x, of each row of y, to others, a forest of the links as two arrays); the rows of y are counted on from those of x unless both are the ``same``."""
+    n_x, n_y, links = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), []
+    xs, ys = (np.arange(len(x)), np.arange(len(y))) if same else (may_link(x, y, cosine), may_link(y, x, cosine))
+    y32 = y[ys].astype(np.float32)
+    for at in range(0, len(xs) if len(ys) else 0, 512):
+        rows = xs[at : at + 512]
+        near = np.flatnonzero(x[rows].astype(np.float32) @ y32.T >= cosine - 1e-4)
+        for lo in range(0, len(near), 1 << 18):
+            i, j = np.divmod(near[lo : lo + (1 << 18)], len(ys))
+            i, j = rows[i], ys[j]
+            ok = np.einsum("ij,ij->i", x[i], y[j]) >= cosine
+            i, j = i[ok], j[ok]
+            if same:
+                i, j = i[i != j], j[i != j]
+            if not len(i):
+                continue
+            n_x += np.bincount(i, y_copies[j], len(x)).astype(np.int64)
+            if not same:
+                n_y += np.bincount(j, x_copies[i], len(y)).astype(np.int64)
+            u, v = least_nodes(i, j if same else j + len(x))
+            links.append((u[u != v], v[u != v]))
+    if not links:
+        return n_x, n_y, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    u, v = (np.concatenate(c) for c in zip(*links))
+    u, v = least_nodes(u, v)
+    return n_x, n_y, u[u != v], v[u != v]
 
 
 def near_vectors(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", cell: int = CELL, tile: int = TILE) -> DataFrame:
@@ -128,60 +127,107 @@ def near_vectors(table: DataFrame, cosine: float = 0.9, id_col: str = "vec_id",
     A null id is no component: its row has its group's, or null. Other columns are not looked at; an empty
     table gives an empty one.
     """
-    r = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    # vectors of floats stay floats until they are compared: half the bytes, and the same doubles
+    single = table.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
+
+    def doubles(raw, size):
+        return np.frombuffer(raw, kind).astype(np.float64).reshape(-1, size)
 
     def clean(batches):
         for batch in batches:
-            out = []
+            out, keys = [], []
             for v in batch.column(1):
-                got = None
+                got = key = None
                 if v.is_valid and len(v) and v.values.null_count == 0:
-                    x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                    x = v.values.to_numpy(zero_copy_only=False)
                     if np.isfinite(x).all() and x.any():
-                        got = (unit(x[None, :])[0] + 0.0).astype("<f8").tobytes()
+                        got = x.astype(kind).tobytes()
+                        key = hashlib.sha256((unit(x[None, :].astype(np.float64))[0] + 0.0).astype("<f8")).digest()[:16]
                 out.append(got)
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], names=["id", "vector"])
+                keys.append(key)
+            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(out, pa.binary())], names=["id", "key", "vector"])
 
-    rows = materialise(table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(clean, "id bigint, vector binary"))
-    alike = materialise(rows.where("vector is not null").withColumn("key", F.sha2("vector", 256)).groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("vector").alias("vector")).withColumn("id", F.xxhash64("key")))
+    plain = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v"))
+    rows = plain.mapInArrow(clean, "id bigint, key binary, vector binary")
+    alike = materialise(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("copies"), F.first("vector").alias("vector")).withColumn("id", F.xxhash64("key")))
     n = alike.count()
-    marked = rows.withColumn("key", F.sha2("vector", 256)).select("id", "key")
+    marked = materialise(rows.select("id", "key"))
     if not n:
         return marked.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.coalesce(F.col("id").isNotNull(), F.lit(False)).alias("kept"))
     spark = table.sparkSession
     share = min(1.0, SAMPLE / n)
     sample = alike.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 20)) <= int(share * (1 << 20))).select("vector").limit(2 * SAMPLE).collect() or alike.select("vector").limit(1).collect()
-    pivots = spark.sparkContext.broadcast(choose_pivots([np.frombuffer(x["vector"], "<f8") for x in sorted(sample)], min(MAX_PIVOTS, -(-n // cell))))
+    sample = [unit(np.frombuffer(v, kind).astype(np.float64)[None, :])[0] for v in sorted(bytes(x["vector"]) for x in sample)]
+    pivots = spark.sparkContext.broadcast(choose_pivots(sample, min(MAX_PIVOTS, -(-n // cell))))
 
     def deal(batches):
         for batch in batches:
-            vectors = unpacked(batch.column(2))
-            lengths = np.array([len(v) for v in vectors])
-            for size in np.unique(lengths):
-                some = np.flatnonzero(lengths == size)
-                x, p = np.stack([vectors[i] for i in some]), pivots.value
-                if size > p.shape[1]:
-                    p = np.concatenate([p, np.zeros((len(p), size - p.shape[1]))], axis=1)
-                row, cell_no, home = cells_of(x, p, r)
-                part = batch.take(pa.array(some[row]))
-                yield pa.record_batch([*part.columns, pa.array(cell_no, pa.int32()), pa.array(home)], names=["id", "copies", "vector", "cell", "is_home"])
-
-    dealt = alike.select("id", "copies", "vector").mapInArrow(deal, "id bigint, copies bigint, vector binary, cell int, is_home boolean")
-    dealt = materialise(dealt)
-    sizes = dealt.groupBy("cell").agg(F.ceil(F.sum(F.col("is_home").cast("int")) / tile).cast("int").alias("hs"), F.ceil(F.count("*") / tile).cast("int").alias("ms"))
-    dealt = dealt.join(F.broadcast(sizes), "cell").where("hs > 0")  # a row for each pivot at most
-    spread = lambda c: F.transform(F.sequence(F.lit(0), F.col(c) - 1), lambda j: j)
-    members = dealt.select("id", "copies", "vector", "cell", F.lit(False).alias("home"), F.pmod(F.xxhash64("id", F.lit(3)), "ms").cast("int").alias("m"), F.explode(spread("hs")).alias("h"))
-    homes = dealt.where("is_home").select("id", "copies", "vector", "cell", F.lit(True).alias("home"), F.explode(spread("ms")).alias("m"), F.pmod(F.xxhash64("id", F.lit(5)), "hs").cast("int").alias("h"))
-    joined = members.unionByName(homes).groupBy("cell", "m", "h").applyInArrow(lambda key, t: join_tile(key, t, cosine), "id bigint, n bigint, other bigint")
-    joined = materialise(joined)
+            vectors = batch.column(2).to_pylist()
+            sizes = np.array([len(v) for v in vectors], np.int64) // np.dtype(kind).itemsize
+            cells = np.zeros(len(sizes), np.int32)
+            for size in np.unique(sizes):
+                some = np.flatnonzero(sizes == size)
+                p = pivots.value[:, :size]
+                cells[some] = (unit(doubles(b"".join([vectors[i] for i in some]), size))[:, : p.shape[1]] @ p.T).argmax(axis=1)
+            yield pa.record_batch([pa.array(sizes.astype(np.int32)), pa.array(cells), *batch.columns], names=["size", "cell", "id", "copies", "vector"])
+
+    dealt = alike.select("id", "copies", "vector").mapInArrow(deal, "size int, cell int, id bigint, copies bigint, vector binary")
+    dealt = dealt.repartitionByRange("size", "cell", "id").sortWithinPartitions("size", "cell", "id").select("size", "id", "copies", "vector")
+    chunks = materialise(dealt.mapInArrow(lambda batches: packed(batches, kind, tile), "c bigint, size int, ids binary, copies binary, vectors binary"))
+
+    def join(batches):
+        counted, linked, size = [], [], 0  # partial sums by id and links, put together where they lie
+
+        def added():
+            ids, n = (np.concatenate(z) for z in zip(*counted))
+            ids, at = np.unique(ids, return_inverse=True)
+            u, v = least_nodes(*(np.concatenate(z) for z in zip(*linked)))
+            n, u, v = np.bincount(at, n, len(ids)).astype(np.int64), u[u != v], v[u != v]
+            counted[:], linked[:] = [(ids, n)], [(u, v)]
+            return len(ids) + len(u)
+
+        def row():
+            (ids, n), (u, v) = counted.pop(), linked.pop()
+            cols = pa.array(np.concatenate((ids, u))), pa.array(np.concatenate((n, np.zeros(len(u), np.int64))))
+            return pa.record_batch([*cols, pa.concat_arrays([pa.nulls(len(ids), pa.int64()), pa.array(v)])], names=["id", "n", "other"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                c, width, ids, copies, vectors, *other = (col[k].as_py() for col in batch.columns)
+                if width != other[1]:
+                    continue
+                same = c == other[0]
+                x = unit(doubles(vectors, width))
+                y = x if same else unit(doubles(other[4], width))
+                (i, m), (j, w) = ((np.frombuffer(d, "<i8") for d in z) for z in ((ids, copies), other[2:4]))
+                n_x, n_y, u, v = join_chunks(x, y, m, w, cosine, same)
+                if not len(u):
+                    continue
+                names = i if same else np.concatenate((i, j))
+                n = n_x if same else np.concatenate((n_x, n_y))
+                counted.append((names[n > 0], n[n > 0]))
+                linked.append((names[u], names[v]))
+                size += len(u) + len(counted[-1][0])
+                if size > HELD:
+                    size = added()
+                    if 2 * size > HELD:
+                        yield row()
+                        size = 0
+        if counted:
+            added()
+            yield row()
+
+    twin = chunks.select(*[F.col(x).alias(f"{x}2") for x in chunks.columns])
+    pairs = chunks.hint("shuffle_replicate_nl").join(twin, F.col("c") <= F.col("c2"))
+    joined = materialise(pairs.mapInArrow(join, "id bigint, n bigint, other bigint"))
     links = joined.where("other is null").groupBy("id").agg((F.sum("n")).alias("n"))
     groups = connected_components(joined.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = materialise(groups.join(alike.select(F.col("id").alias("node"), "low"), "node"))
     lows = materialise(named.groupBy("component").agg(F.min("low").alias("least")))
     named = named.join(lows, "component").select(F.col("node").alias("id"), "least")
     known = alike.select("key", "id", "low", "copies").join(links, "id", "left").join(named, "id", "left")
-    known = known.select("key", F.greatest(F.coalesce("n", "copies"), "copies").alias("n"), F.coalesce("least", "low").alias("component"))
+    known = known.select("key", (F.col("copies") + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("least", "low").alias("component"))
     known = materialise(known)
     out = marked.join(known, "key", "left")
     return out.select(

@@ -1,12 +1,14 @@
 """Operators against the whole of what they promise, without the gates that find candidates."""
 
+import pathlib
 import random
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from sparkveil.llm import linededup, mixing, sharding, simhash
+from sparkveil.llm import embeddings, linededup, mixing, sharding, simhash
+from sparkveil.llm.common import materialise
 
 
 def test_line_dedup_by_edit_similarity_alone(spark):
@@ -109,3 +111,24 @@ def test_rewrite_over_a_layout(spark, tmp_path):
     got = spark.read.parquet(path)
     assert Counter((x.doc_id, x.text, x.old, x.other) for x in got.collect()) == Counter(rows)
     assert {x.shard for x in got.where("old = 3").collect()} == {0}
+
+
+def test_vectors_are_not_copied_for_each_cell(spark, monkeypatch):
+    """What op5 writes and shuffles for a vector does not grow with the number of cells."""
+    written = []
+
+    def counted(df):
+        out = materialise(df)
+        size = sum(f.stat().st_size for f in pathlib.Path(out.inputFiles()[0].removeprefix("file://")).parent.glob("*.parquet")) if out.inputFiles() else 0
+        written.append(size)
+        return out
+
+    monkeypatch.setattr(embeddings, "materialise", counted)
+    x = np.random.default_rng(5).standard_normal((3000, 32)).astype(np.float32)
+    x[1000:1400] = x[:400] + 0.05 * x[2000:2400]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(6)
+    got = {r.vec_id: r.n_links for r in embeddings.near_vectors(df, cell=50, tile=100).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    assert got == dict(enumerate(((u @ u.T >= 0.9).sum(axis=1) - 1).tolist())) and max(got.values()) > 0
+    assert sum(written) < 4 * x.nbytes

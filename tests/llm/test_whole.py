@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sparkveil.llm import embeddings, linededup, mixing, sharding, simhash
-from sparkveil.llm.common import materialise
+from sparkveil.llm.common import least_nodes, materialise
 
 
 def test_line_dedup_by_edit_similarity_alone(spark):
@@ -132,3 +132,43 @@ def test_vectors_are_not_copied_for_each_cell(spark, monkeypatch):
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     assert got == dict(enumerate(((u @ u.T >= 0.9).sum(axis=1) - 1).tolist())) and max(got.values()) > 0
     assert sum(written) < 4 * x.nbytes
+
+
+def test_lines_meet_whatever_the_size_of_the_table(spark):
+    """Lines that share only runs of under 16 bytes: more documents beside them change nothing."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(4))
+    rows = []
+    for step in (3, 4, 5, 8) * 5:
+        words = [word() for _ in range(40)]
+        rows += [" ".join(words), " ".join(w[:3] + "#" if k % step == 0 else w for k, w in enumerate(words))]
+    other = [" ".join(f"{k}x{i}" for k in range(3)) for i in range(3000)]
+
+    def kept(texts):
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+        return {x.doc_id for x in linededup.line_dedup(df, radius=None).where(f"n_removed = 0 and doc_id < {len(rows)}").collect()}
+
+    assert kept(rows) == kept(rows + other)
+
+
+def test_hot_tile_of_lines_has_the_groups_of_all_pairs():
+    """Links of a tile, made in the order of likeness with words and couples of letters first, join what a comparison of all pairs joins."""
+    r = random.Random(32)
+    word = lambda: "".join(r.choice("etaoinsh字\U0001d11e") for _ in range(r.randint(1, 7)))
+    base = [word() for _ in range(30)]
+    forms = []
+    for _ in range(120):
+        words = list(base)
+        for _ in range(r.randint(0, 9)):
+            k = r.randrange(len(words))
+            words[k : k + 1] = r.choice([[word()], [words[k] + "s"], [], [words[k], word()]])
+        forms.append(" ".join(words))
+    forms = sorted(set(forms))
+    n, one = len(forms), np.array([1], "<i8").tobytes()
+    cols = [np.ones(n, np.int64), np.arange(n), np.array(forms, object), np.array([one] * n, object), np.ones(n, np.int64), np.zeros(n, np.int64)]
+    links = [(u, v) for x in linededup.linked_lines(cols, 16, 0.8, 0) for u, v in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
+    assert all(linededup.alike(forms[u], forms[v], 0.8) for u, v in links)
+    want = [(u, v) for u in range(n) for v in range(u) if linededup.alike(forms[u], forms[v], 0.8)]
+    assert 0 < len(want) < n * (n - 1) // 2
+    got, all_ = ({x: y for x, y in zip(*(z.tolist() for z in least_nodes(*np.array(pairs).T)))} for pairs in (links, want))
+    assert got == all_ and len(links) == len(got) - len(set(got.values()))

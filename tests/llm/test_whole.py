@@ -172,3 +172,85 @@ def test_hot_tile_of_lines_has_the_groups_of_all_pairs():
     assert 0 < len(want) < n * (n - 1) // 2
     got, all_ = ({x: y for x, y in zip(*(z.tolist() for z in least_nodes(*np.array(pairs).T)))} for pairs in (links, want))
     assert got == all_ and len(links) == len(got) - len(set(got.values()))
+
+
+def test_distances_of_many_pairs_at_once():
+    """Against one pair at a time: lengths of one to many words of the vectors, edits from none to over the limit, few and many letters, empty texts."""
+    r = random.Random(33)
+    for letters, longest, similarity in (("ab", 30, 0.8), ("etaoin shrdlu", 320, 0.8), ("etaoin 字\U0001d11e\x00", 900, 0.8), ([chr(0x4E00 + k) for k in range(500)], 200, 0.7)):
+        texts, i, j = [""], [0], [0]
+        for _ in range(300):
+            a = [r.choice(letters) for _ in range(r.randint(1, longest))]
+            b = list(a)
+            for _ in range(r.randint(0, round(0.7 * len(a)))):
+                k = r.randrange(len(b) + 1)
+                b[k : k + r.randint(0, 1)] = r.choice([[], [r.choice(letters)]])
+            i.append(len(texts))
+            j.append(len(texts) + 1)
+            texts += ["".join(a), "".join(b)] if r.random() < 0.5 else ["".join(b), "".join(a)]
+        sizes = np.array([len(t) for t in texts])
+        i, j = np.array(i), np.array(j)
+        most = ((1 - similarity) * np.maximum(sizes[i], sizes[j]) + 1e-9).astype(np.int64)
+        some = np.abs(sizes[i] - sizes[j]) <= most
+        i, j, most = i[some], j[some], most[some]
+        got = linededup.alike_pairs(texts, i, j, most).tolist()
+        want = [linededup.edit_distance_within(texts[x], texts[y], k) for x, y, k in zip(i.tolist(), j.tolist(), most.tolist())]
+        assert got == want and 0 < sum(want) < len(want)
+
+
+def test_a_hot_tile_is_compared_in_batches(monkeypatch):
+    """A thousand noisy copies of a line, most pairs just under the similarity: letters of one pair at a time took nearly all of the time."""
+    r = random.Random(34)
+    word = lambda: "".join(r.choice("etaoinsh") for _ in range(r.randint(2, 7)))
+    base, forms = [word() for _ in range(80)], []
+    for _ in range(600):
+        words = list(base)
+        for k in r.sample(range(80), 14):
+            words[k] = word()
+        forms.append(" ".join(words))
+    n, one = len(forms), np.array([1], "<i8").tobytes()
+    cols = [np.ones(n, np.int64), np.arange(n), np.array(forms, object), np.array([one] * n, object), np.ones(n, np.int64), linededup.line_hashes(forms).view(np.int64)]
+    single, edit = [], linededup.edit_distance
+    monkeypatch.setattr(linededup, "edit_distance", lambda a, b, most: (single.append(1) if max(len(a), len(b)) > linededup.GAP else None) or edit(a, b, most))
+    links = [(u, v) for x in linededup.linked_lines(cols, 16, 0.8, 0) for u, v in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
+    assert all(linededup.alike(forms[u], forms[v], 0.8) for u, v in links[:50])
+    single.clear()
+    list(linededup.linked_lines(cols, 16, 0.8, 0))
+    assert len(single) < 100, len(single)
+
+
+def test_lines_that_share_a_block_before_this_tile():
+    """Pairs that go to another tile, the least block that both have, are the same as by sets."""
+    r = random.Random(35)
+    tile = np.repeat(np.arange(40), 12)
+    g = np.repeat(np.array([r.randrange(20, 60) for _ in range(40)]), 12)
+    blocks = [np.array(r.choices(range(-30, 60), k=r.randint(0, 8)) + [int(x)], "<i8").tobytes() for x in g]
+    rows, after = linededup.shared_before(np.array(blocks, object), g, tile)
+    got = {(int(rows[k]), int(rows[k + d])) for k in range(len(rows)) for d in range(1, int(after[k]) + 1)}
+    sets = [set(np.frombuffer(b, "<i8").tolist()) for b in blocks]
+    want = {(x, y) for x in range(len(g)) for y in range(x + 1, len(g)) if tile[x] == tile[y] and min(sets[x] & sets[y]) < g[x]}
+    assert {p for p in got if p[0] != p[1]} == want
+
+
+def test_shuffles_go_when_a_table_is_written(spark):
+    def held():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum(files.apply(k).getName().startswith("shuffle_") and files.apply(k).length() for k in range(files.size()))
+
+    before = held()
+    df = materialise(spark.range(200_000).repartition(3, "id"))
+    assert held() <= before and df.count() == 200_000
+
+
+def test_shared_places_of_groups_in_many_batches(spark, monkeypatch):
+    """Numbers of one key alone go, repeats too, also of numbers whose rows come in many pieces."""
+    monkeypatch.setattr(simhash, "MANY", 50)
+    r = random.Random(36)
+    rows = [(k % 900, [r.choice([-5, 7, r.randrange(10**6), r.randrange(300)]) for _ in range(6)]) for k in range(3000)]
+    df = spark.createDataFrame([(k, np.array(b, "<i8").tobytes()) for k, b in rows], "key bigint, blocks binary").repartition(3)
+    got = [(x.g, x.key) for x in simhash.shared_places(df, "blocks").collect()]
+    keys: dict = {}
+    for k, b in rows:
+        for x in b:
+            keys.setdefault(x, set()).add(k)
+    assert Counter(got) == Counter((g, k) for g, ks in keys.items() if len(ks) > 1 for k in ks)

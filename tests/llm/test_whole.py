@@ -199,7 +199,7 @@ def test_distances_of_many_pairs_at_once():
 
 
 def test_a_hot_tile_is_compared_in_batches(monkeypatch):
-    """A thousand noisy copies of a line, most pairs just under the similarity: letters of one pair at a time took nearly all of the time."""
+    """Six hundred noisy copies of a line, most pairs just under the similarity: letters of one pair at a time took nearly all of the time."""
     r = random.Random(34)
     word = lambda: "".join(r.choice("etaoinsh") for _ in range(r.randint(2, 7)))
     base, forms = [word() for _ in range(80)], []
